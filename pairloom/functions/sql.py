@@ -8,12 +8,21 @@ more, such as a WHERE, the call is planned as a join on the whole text.
 
 from pyspark.sql import SparkSession
 
-from pairloom.functions.mutants import edits_sql, mutation_sites, render_edits
+from pairloom.functions.mutants import EDIT, edits_sql, mutation_sites, render_edits
 from pairloom.functions.python_source import functions_of
 
 
 def register(spark: SparkSession) -> None:
-    """Adds ``extract_functions(content)`` and ``mutate_function(code)`` to the session."""
+    """Adds three functions to the session.
+
+    ``extract_functions(content)``: table of the functions of a file.
+    ``mutation_edits(code)``: array of all edits, in mutant order.
+    ``mutate_function(code, edits)``: table of the mutants these edits make::
+
+        SELECT f.name, m.*
+        FROM (SELECT *, mutation_edits(code) AS edits FROM functions) f,
+             LATERAL mutate_function(f.code, f.edits) m
+    """
     spark.udf.register("pairloom_functions", functions_of)
     spark.udf.register("pairloom_sites", mutation_sites)
     spark.udf.register("pairloom_render", render_edits)
@@ -25,12 +34,19 @@ def register(spark: SparkSession) -> None:
                FROM (SELECT explode(filter(pairloom_functions(content), f -> f.name IS NOT NULL)) AS f)
         """
     )
+    edit = EDIT.simpleString()
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION mutation_edits(code STRING) RETURNS ARRAY<{edit}>
+        RETURN {edits_sql('pairloom_sites(code)')}
+        """
+    )
     spark.sql(
         f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION mutate_function(code STRING)
+        CREATE OR REPLACE TEMPORARY FUNCTION mutate_function(code STRING, edits ARRAY<{edit}>)
         RETURNS TABLE (mutant_idx INT, operator STRING, node_type STRING, node_pos INT,
                        mutant STRING, is_noop BOOLEAN, is_valid BOOLEAN)
         RETURN SELECT i, m.operator, m.node_type, m.node_pos, m.code, m.node_pos = 0, m.is_valid
-               FROM (SELECT posexplode(pairloom_render(code, {edits_sql('pairloom_sites(code)')})) AS (i, m))
+               FROM (SELECT posexplode(pairloom_render(code, edits)) AS (i, m))
         """
     )

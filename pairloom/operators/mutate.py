@@ -26,13 +26,16 @@ def mutant_counts(functions: DataFrame, keys: list[str]) -> DataFrame:
     return mutant_plan(functions).groupBy(*keys, "operator").agg(F.count("*").alias("num_mutants"))
 
 
-def mutants(functions: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def mutants(functions: DataFrame, chunk: int = CHUNK, tasks: int | None = None) -> DataFrame:
     """One row per mutant with its text.
 
     The edits of a function are cut into chunks and the chunks are scattered,
     so one long function is rendered by many tasks and a batch never holds
-    more than ``chunk`` copies of a text per row.
+    more than ``chunk`` copies of a text per row. The number of tasks is
+    explicit, else adaptive execution would size them by their small input
+    rather than by the work and output, which are tens of times larger.
     """
+    tasks = tasks or int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [c for c in functions.columns if c != "code"]
     edits = F.col("_edits")
     # Null, and so no row, where there is nothing to change.
@@ -41,7 +44,7 @@ def mutants(functions: DataFrame, chunk: int = CHUNK) -> DataFrame:
         _planned(functions)
         .select(*kept, "code", "_edits", F.explode(starts).alias("_start"))
         .select(*kept, "code", "_start", F.slice("_edits", F.col("_start"), F.lit(chunk)).alias("_edits"))
-        .repartition("_start", "code", *kept)
+        .repartition(tasks, "_start", "code", *kept)
     )
     rendered = F.posexplode(render_edits("code", "_edits")).alias("_at", "_m")
     return chunked.select(*kept, "_start", rendered).select(

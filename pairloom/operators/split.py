@@ -67,7 +67,11 @@ def assign_split(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     starts = with_position(keys, order).where((F.col("position") % size == 0) & (F.col("position") > 0))
     # At most n-1 keys, one array value.
     bounds = starts.agg(F.sort_array(F.collect_list(key)).alias("starts")).scalar()
-    return df.withColumn("split", F.size(F.filter(bounds, lambda first: first <= key)).cast("long") + 1)
+    return (
+        df.withColumn("_starts", bounds)
+        .withColumn("split", F.size(F.filter("_starts", lambda first: first <= key)).cast("long") + 1)
+        .drop("_starts")
+    )
 
 
 def split_sizes(df: DataFrame, n: int) -> DataFrame:

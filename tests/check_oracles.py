@@ -1,0 +1,69 @@
+"""Run every query at one scale and compare it with its SQL: python tests/check_oracles.py [sf_dir] [name ...]"""
+
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import duckdb
+
+from __spark_entry__ import oracle_sql, queries
+from pairloom.session import local_session
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents "
+    "embeddings pages benchmark labels conversations"
+).split()
+
+
+def normalised(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(columns), sorted(repr(tuple(row[i] for i in order)) for row in rows)
+
+
+def connect(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def oracle_rows(con, sql):
+    columns = [r[0] for r in con.execute(f"DESCRIBE {sql}").fetchall()]
+    return normalised(columns, con.execute(sql).fetchall())
+
+
+def query_rows(df):
+    return normalised(df.columns, [tuple(r) for r in df.collect()])
+
+
+if __name__ == "__main__":
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or list(queries())
+    spark = local_session(8)
+    spark.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
+    failed = 0
+    for name in names:
+        start = time.time()
+        try:
+            got = query_rows(queries()[name](spark, sf_dir))
+            took = time.time() - start
+            sql = oracle_sql().get(name)
+            if sql is None:
+                print(f"----  {name:28s} {took:6.2f}s rows={len(got[1])}")
+                continue
+            want = oracle_rows(con, sql)
+            ok = got == want
+            print(f"{'ok' if ok else 'DIFF':4s}  {name:28s} {took:6.2f}s rows={len(got[1])}/{len(want[1])}")
+            if not ok:
+                failed += 1
+                print("   ", got[0], want[0])
+                extra, missing = set(got[1]) - set(want[1]), set(want[1]) - set(got[1])
+                print("    extra  ", [r[:300] for r in sorted(extra)[:2]])
+                print("    missing", [r[:300] for r in sorted(missing)[:2]])
+        except Exception as error:
+            failed += 1
+            print(f"FAIL  {name}: {str(error)[:1200]}")
+    sys.exit(failed > 0)
