@@ -1,38 +1,38 @@
 """Base64 and UTF-8 decoding that stays inside the JVM."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _REPLACEMENT = "�"
 _ESCAPE = "\x01"
 
 
-def utf8_ignoring_errors(raw: str | Column) -> Column:
-    """Bytes to text; bytes that are not UTF-8 vanish.
+def utf8_ignoring_errors(text: Column) -> Column:
+    """The valid part of a string column that was cast from bytes.
 
     ``make_valid_utf8`` turns each bad run into U+FFFD. To delete those and
     keep the U+FFFD characters that were in the text, the latter are escaped
     first; both escape bytes are ASCII or start with a lead byte, so they can
     not be part of a bad run.
     """
-    text = _col(raw).cast("string")
     escaped = _replace(_replace(text, _ESCAPE, _ESCAPE + "a"), _REPLACEMENT, _ESCAPE + "b")
     cleaned = _replace(F.make_valid_utf8(escaped), _REPLACEMENT, "")
     restored = _replace(_replace(cleaned, _ESCAPE + "b", _REPLACEMENT), _ESCAPE + "a", _ESCAPE)
     return F.when(F.is_valid_utf8(text), text).otherwise(restored)
 
 
-def base64_bytes(encoded: str | Column) -> Column:
+def unwrapped(encoded: Column) -> Column:
+    """Base64 without its line breaks."""
+    return _replace(_replace(encoded, "\n", ""), "\r", "")
+
+
+def base64_bytes(symbols: Column) -> Column:
     """Lenient base64: characters outside the alphabet are skipped, decoding
     stops at the first complete padding. Null for text that ends inside a group
-    of four or is not ASCII."""
-    encoded = _col(encoded)
-    symbols = F.regexp_replace(encoded, "[^A-Za-z0-9+/=]", "")
-    regular = (F.length(symbols) % 4 == 0) & F.rlike(symbols, F.lit("^[^=]*+={0,2}$"))
-    ascii_only = F.octet_length(encoded) == F.length(encoded)
-    return F.when(
-        ascii_only,
-        F.when(regular, F.unbase64(symbols)).otherwise(F.unbase64(_data_symbols(symbols))),
-    )
+    of four or is not ASCII. Well-formed text takes the short branch."""
+    regular = (F.length(symbols) % 4 == 0) & F.rlike(symbols, F.lit("^[A-Za-z0-9+/]*+={0,2}$"))
+    ascii_only = F.octet_length(symbols) == F.length(symbols)
+    known = F.regexp_replace(symbols, "[^A-Za-z0-9+/=]", "")
+    return F.when(regular, F.unbase64(symbols)).when(ascii_only, F.unbase64(_data_symbols(known)))
 
 
 def _data_symbols(symbols: Column) -> Column:
@@ -62,18 +62,24 @@ def _data_symbols(symbols: Column) -> Column:
     return F.when(whole, F.rpad(data, (F.ceil(F.length(data) / 4) * 4).cast("int"), "="))
 
 
-def decode_content(encoded: str | Column) -> Column:
-    """Base64 file content to text; null where it can not be decoded."""
-    return utf8_ignoring_errors(base64_bytes(encoded))
+def decode_text(df: DataFrame, encoded: str, name: str) -> DataFrame:
+    """Replace base64 column ``encoded`` by text column ``name``; null where it can not be decoded.
+
+    One column per step: each is used several times by the next, and as one
+    expression the early steps would be computed again at every use.
+    """
+    return (
+        df.withColumn("_symbols", unwrapped(F.col(encoded)))
+        .withColumn("_raw", base64_bytes(F.col("_symbols")).cast("string"))
+        .withColumn(name, utf8_ignoring_errors(F.col("_raw")))
+        .drop(*{encoded, "_symbols", "_raw"} - {name})
+    )
 
 
-def stripped(line: str | Column) -> Column:
-    return F.regexp_replace(_col(line), r"^\s+|\s+$", "")
+def stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
 
 
 def _replace(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(old), F.lit(new))
 
-
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -38,7 +38,7 @@ def extract_functions(files: DataFrame, last_only: bool = False) -> DataFrame:
     return named_functions(parse_files(files, last_only))
 
 
-def test_functions(test_files: DataFrame) -> DataFrame:
+def extract_tests(test_files: DataFrame) -> DataFrame:
     """The tests of listed test files, one per name and file."""
     return extract_functions(test_files, last_only=True).where("is_test")
 

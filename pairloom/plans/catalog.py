@@ -10,7 +10,7 @@ from pairloom.plans import inputs
 from pairloom.plans.curate import merge_pair_files
 from pairloom.plans.mine import mine_by_test_file, mine_listed
 from pairloom.schemas import FILE_LEDGER, FUNCTION_PAIRS, INSTRUCTION, UNNAMED_FUNCTION
-from pairloom.session import scratch_path, stored, tune
+from pairloom.session import scratch_path, spread, stored, tune
 from pairloom.sinks import tables
 from pairloom.sources import files as file_sources, items as item_sources, state
 from pairloom.streaming import dedup, incremental
@@ -135,7 +135,7 @@ def code_files_scan(spark, sf):
 @query("SELECT doc_id, text AS content FROM documents")
 def decode_base64(spark, sf):
     """Whole texts, with line breaks as a contents API sends them."""
-    docs = inputs.table(spark, sf, "documents")
+    docs = spread(inputs.table(spark, sf, "documents"))
     lines = F.regexp_replace(F.base64(F.col("text").cast("binary")), "(.{60})", "$1\n")
     return file_sources.decode_files(docs.select("doc_id", lines.alias("content_b64")))
 
@@ -143,7 +143,7 @@ def decode_base64(spark, sf):
 @query("SELECT doc_id, '�' || text || 'ok(' AS content FROM documents")
 def decode_invalid_bytes(spark, sf):
     """Bad bytes before and after each text vanish; a U+FFFD of the text stays."""
-    docs = inputs.table(spark, sf, "documents")
+    docs = spread(inputs.table(spark, sf, "documents"))
     raw = F.concat(
         F.unhex(F.lit("FFEFBFBDE4B8")), F.col("text").cast("binary"), F.unhex(F.lit("FF6F6BEDA080C328F09F98"))
     )
@@ -282,7 +282,7 @@ def cross_file_collapse(spark, sf):
 
 @query(f"WITH {FN} SELECT DISTINCT r AS repository_full_name, p AS file_path FROM fn WHERE starts_with(name, 'test_')")
 def files_with_tests(spark, sf):
-    return extract.files_with_tests(extract.test_functions(code_files(spark, sf)))
+    return extract.files_with_tests(extract.extract_tests(code_files(spark, sf)))
 
 
 @query(f"WITH {FN} SELECT r AS repository_full_name, p AS file_path, CAST(0 AS INTEGER) AS fn_pos, name, c AS code FROM fn")
@@ -318,7 +318,7 @@ def unmatched_tests(spark, sf):
 
 
 def _by_test_file(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    tests = extract.test_functions(files.where(is_test_file()))
+    tests = extract.extract_tests(files.where(is_test_file()))
     return tests, extract.extract_functions(validate.source_files(files), last_only=True)
 
 

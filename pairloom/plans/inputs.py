@@ -2,13 +2,16 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derived(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
+    """A derived table. Its rows are much wider than the rows it is made from, so those are spread first."""
+    return spark.sql(text, **{t: spread(table(spark, sf_dir, t)) for t in tables})
 
 
 # Small functions: repeated names, `latest` in paths, unparsable files, tests without a function.

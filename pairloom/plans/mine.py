@@ -4,7 +4,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.operators.extract import extract_functions, files_with_tests, test_functions
+from pairloom.operators.extract import extract_functions, files_with_tests, extract_tests
 from pairloom.operators.joins import attach_content, heavy_keys, keep_known, skip_known
 from pairloom.operators.pairing import KEYS, pair_by_test_file, pair_listed
 from pairloom.operators.stats import repo_stats
@@ -39,7 +39,7 @@ def mine_by_test_file(
     listed = skip_known(valid_files(file_list), ledger, FILE).select(*FILE)
     if not keep_duplicates:
         listed = listed.distinct()
-    tests = stored(test_functions(attach_content(listed, contents)), "tests")
+    tests = stored(extract_tests(attach_content(listed, contents)), "tests")
     sources = keep_known(source_files(contents), tests.select(*REPO).distinct(), REPO)
     # In-file winners only: names repeat across files, not within one.
     candidates = extract_functions(sources.select(*FILE, "content"), last_only=True)

@@ -61,6 +61,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), "pairloom", f"{label}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Enough tasks for a table with fewer splits than cores. A large table has them: it is not shuffled."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the scratch folder and read it back.
 

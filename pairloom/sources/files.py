@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.functions.text import decode_content, utf8_ignoring_errors
+from pairloom.functions.text import decode_text, utf8_ignoring_errors
 from pairloom.schemas import CODE_FILES, COVERAGE
 
 
@@ -20,17 +20,16 @@ def read_checkouts(spark: SparkSession, root: str, glob: str = "*.py") -> DataFr
         .option("pathGlobFilter", glob)
         .load(root)
     )
-    return files.select(
+    return files.withColumn("content", F.col("content").cast("string")).select(
         F.regexp_extract("path", where, 1).alias("repository_full_name"),
         F.regexp_extract("path", where, 2).alias("file_path"),
-        utf8_ignoring_errors("content").alias("content"),
+        utf8_ignoring_errors(F.col("content")).alias("content"),
     )
 
 
 def decode_files(files: DataFrame, encoded: str = "content_b64") -> DataFrame:
     """Base64 contents, as a contents API delivers them, to text."""
-    others = [c for c in files.columns if c != encoded]
-    return files.select(*others, decode_content(encoded).alias("content"))
+    return decode_text(files, encoded, "content")
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:

@@ -41,7 +41,7 @@ def read_json_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A log of ``repo:path`` lines."""
-    line = stripped("value")
+    line = stripped(F.col("value"))
     return or_empty(
         spark,
         lambda: spark.read.text(path)

@@ -56,19 +56,21 @@ def _write_batch(rows: DataFrame, out: str, table: str, batch: int) -> DataFrame
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def pair_new_repositories(spark: SparkSession, out: str) -> int:
-    """Pair the parsed files of repositories that are not done; returns the batch number."""
+def pair_new_repositories(spark: SparkSession, out: str) -> int | None:
+    """Pair the parsed files of repositories that are not done; returns the batch number, None if all are done."""
     batch = last_batch(spark, out) + 1
     ledger = read_committed(spark, out, "ledger", REPO_LEDGER)
     parsed = read_table(spark, f"{out}/parsed", PARSED_FILES)
     todo = skip_known(parsed, ledger, REPO_LEDGER.fieldNames())
+    if todo.isEmpty():
+        return None
     pairs = _write_batch(pair_listed(named_functions(todo)), out, "pairs", batch)
     stats = _write_batch(repo_stats(todo.select("repository_full_name").distinct(), pairs), out, "stats", batch)
     _write_batch(stats.select(F.col("repository").alias("repository_full_name")), out, "ledger", batch)
     return batch
 
 
-def mine_available(spark: SparkSession, landing: str, out: str) -> int:
+def mine_available(spark: SparkSession, landing: str, out: str) -> int | None:
     """One resumable run over whatever has landed."""
     start_parsing(spark, landing, out).awaitTermination()
     return pair_new_repositories(spark, out)
