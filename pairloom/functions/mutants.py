@@ -228,18 +228,70 @@ def _root(code):
 
 
 def _places(root):
-    """Breadth-first nodes, each with a function that puts another node in its place."""
-    queue = deque([(root, None)])
+    """Breadth-first (node, put, home).
+
+    ``put`` sets another node in its place; the root has none. ``home`` is the
+    innermost statement around the node whose text does not depend on its
+    surroundings: an ``elif`` and a leading expression, which may be or become
+    a docstring, belong to the statement around them.
+    """
+    queue = deque([(root, None, root)])
     while queue:
-        node, put = queue.popleft()
-        yield node, put
+        node, put, home = place = queue.popleft()
+        yield place
         for field, value in ast.iter_fields(node):
             if isinstance(value, ast.AST):
-                queue.append((value, lambda new, n=node, f=field: setattr(n, f, new)))
+                queue.append((value, lambda new, n=node, f=field: setattr(n, f, new), home))
             elif isinstance(value, list):
                 for i, item in enumerate(value):
                     if isinstance(item, ast.AST):
-                        queue.append((item, lambda new, v=value, i=i: v.__setitem__(i, new)))
+                        leads = i == 0 and field == "body" and isinstance(item, ast.Expr)
+                        is_elif = field == "orelse" and len(value) == 1 and isinstance(item, ast.If)
+                        own = isinstance(item, ast.stmt) and not leads and not is_elif
+                        put = lambda new, v=value, i=i: v.__setitem__(i, new)
+                        queue.append((item, put, item if own else home))
+
+
+def _text(node):
+    try:
+        return ast.unparse(node)
+    except (RecursionError, ValueError):
+        return None
+
+
+def _printed(root):
+    """The text lines of ``root``, and by node id the place of its statements in them.
+
+    Empty when the text does not parse back to the same statements.
+    """
+    text = _text(root)
+    again = _root(text) if text is not None else None
+    if again is None:
+        return [], {}
+    old, new = ([n for n in ast.walk(t) if isinstance(n, ast.stmt)] for t in (root, again))
+    if list(map(type, old)) != list(map(type, new)):
+        return [], {}
+    return text.split("\n"), {id(o): n for o, n in zip(old, new)}
+
+
+def _within(lines, place, statement):
+    """The text with ``statement`` at ``place``, and whether it parses.
+
+    Only the statement is printed and parsed, at the depth it stands at; the
+    lines around it are known to be good.
+    """
+    depth = place.col_offset // 4
+    for _ in range(depth):
+        statement = ast.If(ast.Constant(True), [statement], [])
+    alone = _text(statement)
+    if alone is None:
+        return None, False
+    piece = alone.split("\n")[depth:]
+    while not piece[0]:
+        piece = piece[1:]
+    first = min([place.lineno, *(d.lineno for d in getattr(place, "decorator_list", ()))])
+    text = "\n".join([*lines[: first - 1], *piece, *lines[place.end_lineno :]])
+    return text, _root(alone) is not None
 
 
 def sites(code):
@@ -257,19 +309,26 @@ def sites(code):
 def rendered(code, edits):
     """Apply each edit to the text on its own. The root itself can not be replaced: its edits change nothing."""
     root = _root(code)
-    places = list(_places(root)) if root is not None else []
+    if root is None:
+        return []
+    places = list(_places(root))
+    lines, printed = _printed(root)
     out = []
     for edit in edits:
-        node, put = places[edit["node_pos"]]
+        node, put, home = places[edit["node_pos"]]
+        new = node
         if put is not None:
-            put(_edited(node, edit["operator"], edit["choice"]))
-        try:
-            text = ast.unparse(root)
-        except (RecursionError, ValueError):
-            text = None
+            new = _edited(node, edit["operator"], edit["choice"])
+            put(new)
+        place = printed.get(id(home))
+        if place is None or home is root:
+            text = _text(root)
+            valid = text is not None and _root(text) is not None
+        else:
+            text, valid = _within(lines, place, new if home is node else home)
         if put is not None:
             put(node)
-        out.append({**edit, "code": text, "is_valid": text is not None and _root(text) is not None})
+        out.append({**edit, "code": text, "is_valid": valid})
     return out
 
 

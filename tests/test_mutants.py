@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.functions import mutants as module
 from pairloom.functions.sql import register
 from pairloom.operators.mutate import mutant_counts, mutant_plan, mutants
 
@@ -142,19 +143,97 @@ def test_long_function_is_spread_over_rows(spark):
     assert [r.mutant_idx for r in got] == list(range(300 * 11))
 
 
-def test_library_functions_render(spark):
+def library_codes(*names):
     folder = os.path.dirname(ast.__file__)
     codes = {}
-    for name in ("textwrap", "bisect", "shlex", "heapq", "fnmatch", "glob"):
+    for name in names:
         source = open(f"{folder}/{name}.py", encoding="utf-8").read()
         for node in ast.walk(ast.parse(source)):
             if isinstance(node, ast.FunctionDef):
                 codes[f"{name}.{node.name}.{node.lineno}"] = ast.get_source_segment(source, node)
+    return codes
+
+
+TRICKY = [
+    """def f():
+    'a\\n  b'
+    def g():
+        'x'
+        return 1
+    return g""",
+    """def f():
+    'a' + x
+    return 1""",
+    """def f(x):
+    if x == 1:
+        a()
+    elif x == 2:
+        b()
+    elif x == 3:
+        c()
+    else:
+        d(4)""",
+    """def f(x):
+    if x:
+        return f'a\\n{x + 1:>{2}}\\nb' + 'c'""",
+    """def f(x):
+    match x:
+        case 1 if x > 2:
+            return x[1:]
+        case 'a' | -2:
+            x += 1""",
+    """class C:
+    @d(1)
+    def f(self, a=1):
+        with open('x') as g, h:
+            try:
+                return a + 1
+            except (E, F) as e:
+                raise G(2) from e
+            else:
+                return 3
+            finally:
+                del a[1:2]""",
+    "def f(x): a = 1; b = 2; return not x",
+]
+
+SOME_EDITS = {
+    "BinOp": [("AOR", "**"), ("AOD", "left")],
+    "If": [("COI", "or"), ("COD_IF", None)],
+    "Return": [("COD_RET", None)],
+    "Compare": [("ROR", "<")],
+    "Try": [("EHD", None)],
+    "ExceptHandler": [("EXS", None)],
+    "Assign": [("ASR", None)],
+    "AugAssign": [("ASR_AUG", "/")],
+    "UnaryOp": [("LOR", None)],
+    "BoolOp": [("LOD", "0")],
+    "Subscript": [("SIR", None)],
+}
+
+
+def some_edits(code):
+    for s in module.sites(code):
+        constants = [("CRP_NUM" if s["op"] == "num" else "CRP_STR", c) for c in s["choices"]]
+        for operator, choice in constants if s["node_type"] == "Constant" else SOME_EDITS.get(s["node_type"], []):
+            yield dict(operator=operator, node_type=s["node_type"], node_pos=s["node_pos"], choice=choice)
+
+
+def test_printing_one_statement_equals_printing_all(monkeypatch):
+    codes = [*library_codes("textwrap", "heapq", "fnmatch", "configparser").values(), *TRICKY]
+    plans = [list(some_edits(code)) for code in codes]
+    short = [module.rendered(c, e) for c, e in zip(codes, plans)]
+    monkeypatch.setattr(module, "_printed", lambda root: ([], {}))
+    assert short == [module.rendered(c, e) for c, e in zip(codes, plans)]
+    assert sum(map(len, short)) > 1500
+
+
+def test_library_functions_render(spark):
+    codes = library_codes("textwrap", "bisect", "shlex", "heapq")
     got = mutants(table(spark, codes)).collect()
-    assert len(got) > 2000
+    assert len(got) > 1500
     for r in got:
-        same = r.code == ast.unparse(ast.parse(codes[r.id]))
-        assert same if r.is_noop else r.code is not None
+        assert r.code == ast.unparse(ast.parse(codes[r.id])) if r.is_noop else r.code is not None
         if r.is_valid:
             ast.parse(r.code)
 
