@@ -84,8 +84,9 @@ def skipped_items(items: DataFrame, item: str = "item", keep: Sequence[str] = ()
     return items.where(~_complete(item)).select(*keep, name.alias("function_name"))
 
 
-def instruction_counts(items: DataFrame, item: str = "item") -> DataFrame:
-    return items.agg(
+def instruction_counts(item: str = "item") -> list[Column]:
+    """Aggregates for ``agg`` or ``observe``: items that become records, and items left out."""
+    return [
         F.count_if(_complete(item)).alias("converted"),
         F.count_if(~_complete(item)).alias("skipped"),
-    )
+    ]

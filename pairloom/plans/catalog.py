@@ -505,7 +505,7 @@ def sft_skipped(spark, sf):
 
 @query(f"SELECT count(l.quality) AS converted, count(*) - count(l.quality) AS skipped FROM {LABELLED}")
 def sft_counts(spark, sf):
-    return curate.instruction_counts(pair_items(spark, sf))
+    return pair_items(spark, sf).agg(*curate.instruction_counts())
 
 
 @query(f"SELECT '{INSTRUCTION}' AS instruction, d.text AS input, {LABEL_TEST} AS output FROM {LABELLED} WHERE l.quality IS NOT NULL")

@@ -2,9 +2,16 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from pairloom.operators.curate import input_output, instruction_records, keep_first, text_of, concatenate
+from pyspark.sql import DataFrame, Observation, SparkSession
+
+from pairloom.operators.curate import (
+    concatenate,
+    input_output,
+    instruction_counts,
+    instruction_records,
+    keep_first,
+    text_of,
+)
 from pairloom.sinks.tables import write_jsonl
 from pairloom.sources.items import read_items, read_pairs
 
@@ -19,8 +26,14 @@ def write_input_output(spark: SparkSession, paths: Sequence[str], out: str, fmt:
     write_jsonl(input_output(merged.orderBy("ord")), out)
 
 
-def write_instructions(spark: SparkSession, paths: Sequence[str], out: str, fmt: str = "jsonl") -> None:
-    """From raw items, so that a null code counts as present and an absent one as missing."""
+def write_instructions(spark: SparkSession, paths: Sequence[str], out: str, fmt: str = "jsonl") -> dict[str, int]:
+    """From raw items, so that a null code counts as present and an absent one as missing.
+
+    Returns how many items were converted and skipped, counted by the job that writes.
+    """
     items = concatenate([read_items(spark, p, fmt, i) for i, p in enumerate(paths)])
     merged = keep_first(items.withColumn("function_name", text_of("item", "function_name")))
-    write_jsonl(instruction_records(merged.orderBy("ord")), out)
+    counts = Observation()
+    counted = merged.orderBy("ord").observe(counts, *instruction_counts())
+    write_jsonl(instruction_records(counted), out)
+    return counts.get

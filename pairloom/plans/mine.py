@@ -24,7 +24,7 @@ class Mined(NamedTuple):
 def mine_listed(file_list: DataFrame, contents: DataFrame, ledger: DataFrame) -> Mined:
     """Mode B: pairs inside the listed files of every repository that is not in the ledger."""
     todo = skip_known(valid_files(file_list), ledger, REPO)
-    pairs = pair_listed(extract_functions(attach_content(todo, contents)))
+    pairs = pair_listed(extract_functions(attach_content(todo, contents), last_only=True))
     return Mined(pairs, todo.select(*REPO).distinct(), repo_stats(todo, pairs))
 
 

@@ -5,6 +5,10 @@ file sink shows each parsed file exactly once. Pairing needs all files of a
 repository, so it runs as a batch over repositories that are not done. A
 batch overwrites folders named after its number, and the ledger is written
 last: a run that died before that is repeated under the same number.
+
+Parsed rows carry the number of the batch that will pair them, as a
+partition. A batch reads its own partition only, so the work of a run grows
+with what is new and not with what was mined before.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -22,11 +26,13 @@ BATCH = T.StructField("batch_id", T.LongType())
 
 
 def start_parsing(spark: SparkSession, landing: str, out: str) -> StreamingQuery:
-    """Parse every file that has landed and was not parsed before, then stop."""
+    """Parse every file that has landed and was not parsed before, for the next batch, then stop."""
     files = spark.readStream.schema(CODE_FILES).parquet(landing)
     return (
         parse_files(files)
+        .withColumn("batch_id", F.lit(last_batch(spark, out) + 1).cast("long"))
         .writeStream.format("parquet")
+        .partitionBy("batch_id")
         .option("checkpointLocation", f"{out}/_parsing")
         .trigger(availableNow=True)
         .start(f"{out}/parsed")
@@ -57,10 +63,14 @@ def _write_batch(rows: DataFrame, out: str, table: str, batch: int) -> DataFrame
 
 
 def pair_new_repositories(spark: SparkSession, out: str) -> int | None:
-    """Pair the parsed files of repositories that are not done; returns the batch number, None if all are done."""
+    """Pair the parsed files of repositories that are not done; returns the batch number, None if all are done.
+
+    As a done repository is skipped for good, files that arrive for it later
+    are parsed and not paired.
+    """
     batch = last_batch(spark, out) + 1
     ledger = read_committed(spark, out, "ledger", REPO_LEDGER)
-    parsed = read_table(spark, f"{out}/parsed", PARSED_FILES)
+    parsed = read_table(spark, f"{out}/parsed", _with_batch(PARSED_FILES)).where(F.col("batch_id") == batch).drop("batch_id")
     todo = skip_known(parsed, ledger, REPO_LEDGER.fieldNames())
     if todo.isEmpty():
         return None
