@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from pairloom.functions.nested import from_arrow, to_arrow
+
 # Fixed values, in the order mutants are numbered.
 ARITHMETIC = {
     "+": ast.Add,
@@ -336,14 +338,12 @@ def rendered(code, edits):
 def mutation_sites(codes: pa.Array) -> pa.Array:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return pa.array([None if c is None else sites(c) for c in codes.to_pylist()], _SITES)
+        return to_arrow([None if c is None else sites(c) for c in codes.to_pylist()], _SITES)
 
 
 @arrow_udf(T.ArrayType(MUTANT))
 def render_edits(codes: pa.Array, edits: pa.Array) -> pa.Array:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return pa.array(
-            [None if c is None else rendered(c, e or []) for c, e in zip(codes.to_pylist(), edits.to_pylist())],
-            _MUTANTS,
-        )
+        work = zip(codes.to_pylist(), from_arrow(edits))
+        return to_arrow([None if c is None else rendered(c, e) for c, e in work], _MUTANTS)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from pairloom.functions.nested import to_arrow
 from pairloom.schemas import PARSED
 
 LINE_END = re.compile(rb"\r\n|\r|\n")
@@ -65,10 +66,8 @@ def file_functions(source, last_only=False):
 def _over_batch(sources, last_only):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return pa.array(
-            [None if s is None else file_functions(s, last_only) for s in sources.to_pylist()],
-            _FUNCTIONS,
-        )
+        found = [None if s is None else file_functions(s, last_only) for s in sources.to_pylist()]
+    return to_arrow(found, _FUNCTIONS)
 
 
 @arrow_udf(T.ArrayType(PARSED))
