@@ -47,6 +47,13 @@ STRINGS = {
     "suffix": lambda v: v + "_mutated",
 }
 
+# Edits that leave a block without what it needs.
+UNSAFE = ("EHD", "EXS")
+
+INDENT = "    "
+DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+HEADED = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.With, ast.AsyncWith)
+
 SITE = T.StructType(
     [
         T.StructField("node_pos", T.IntegerType()),
@@ -230,28 +237,30 @@ def _root(code):
 
 
 def _places(root):
-    """Breadth-first (node, put, home).
+    """Breadth-first (node, put, home, in_header).
 
     ``put`` sets another node in its place; the root has none. ``home`` is the
     innermost statement around the node whose text does not depend on its
-    surroundings: an ``elif`` and a leading expression, which may be or become
-    a docstring, belong to the statement around them.
+    surroundings: an ``elif`` and an expression that leads a definition, which
+    may be or become a docstring, belong to the statement around them.
+    ``in_header`` tells that the node is in front of the blocks of its home.
     """
-    queue = deque([(root, None, root)])
+    queue = deque([(root, None, root, False)])
     while queue:
-        node, put, home = place = queue.popleft()
+        node, _, home, in_header = place = queue.popleft()
         yield place
         for field, value in ast.iter_fields(node):
+            opens = in_header or (node is home and isinstance(node, HEADED) and field not in ("body", "orelse"))
             if isinstance(value, ast.AST):
-                queue.append((value, lambda new, n=node, f=field: setattr(n, f, new), home))
+                queue.append((value, lambda new, n=node, f=field: setattr(n, f, new), home, opens))
             elif isinstance(value, list):
                 for i, item in enumerate(value):
                     if isinstance(item, ast.AST):
-                        leads = i == 0 and field == "body" and isinstance(item, ast.Expr)
+                        leads = i == 0 and field == "body" and isinstance(item, ast.Expr) and isinstance(node, DEFINITIONS)
                         is_elif = field == "orelse" and len(value) == 1 and isinstance(item, ast.If)
                         own = isinstance(item, ast.stmt) and not leads and not is_elif
                         put = lambda new, v=value, i=i: v.__setitem__(i, new)
-                        queue.append((item, put, item if own else home))
+                        queue.append((item, put, item, False) if own else (item, put, home, opens))
 
 
 def _text(node):
@@ -262,7 +271,7 @@ def _text(node):
 
 
 def _printed(root):
-    """The text lines of ``root``, and by node id the place of its statements in them.
+    """The text lines of ``root``, and by node id where its statements stand in them.
 
     Empty when the text does not parse back to the same statements.
     """
@@ -276,24 +285,43 @@ def _printed(root):
     return text.split("\n"), {id(o): n for o, n in zip(old, new)}
 
 
-def _within(lines, place, statement):
-    """The text with ``statement`` at ``place``, and whether it parses.
+def _first_line(place):
+    return min([place.lineno, *(d.lineno for d in getattr(place, "decorator_list", ()))])
+
 
-    Only the statement is printed and parsed, at the depth it stands at; the
-    lines around it are known to be good.
+def _spliced(lines, place, statement, header_only):
+    """The text with ``statement`` at ``place``, and what was printed for it.
+
+    Only that statement is printed, or only what stands in front of its
+    blocks. Blocks need their depth, so they are printed inside as many
+    others; elsewhere a further line can only be the inside of a string.
     """
+    first, last = _first_line(place), place.end_lineno
     depth = place.col_offset // 4
-    for _ in range(depth):
+    if header_only:
+        statement = _copy(statement, **{f: [ast.Pass()] if f == "body" else [] for f in ("body", "orelse") if hasattr(statement, f)})
+        last = _first_line(place.body[0]) - 1
+        while not lines[last - 1]:
+            last -= 1
+    inside = not header_only and hasattr(statement, "body") or isinstance(statement, ast.Match)
+    for _ in range(depth if inside else 0):
         statement = ast.If(ast.Constant(True), [statement], [])
     alone = _text(statement)
     if alone is None:
-        return None, False
-    piece = alone.split("\n")[depth:]
-    while not piece[0]:
-        piece = piece[1:]
-    first = min([place.lineno, *(d.lineno for d in getattr(place, "decorator_list", ()))])
-    text = "\n".join([*lines[: first - 1], *piece, *lines[place.end_lineno :]])
-    return text, _root(alone) is not None
+        return None, None
+    piece = alone.split("\n")
+    if inside:
+        piece = piece[depth:]
+        while not piece[0]:
+            piece = piece[1:]
+    else:
+        piece = [INDENT * depth + piece[0], *(piece[1:-1] if header_only else piece[1:])]
+    return "\n".join([*lines[: first - 1], *piece, *lines[last:]]), alone
+
+
+def _fragile(home):
+    """Whether an edit can make text that does not parse: patterns take few expressions, f-strings limit quotes."""
+    return any(isinstance(n, (ast.match_case, ast.JoinedStr)) for n in ast.walk(home))
 
 
 def sites(code):
@@ -315,21 +343,28 @@ def rendered(code, edits):
         return []
     places = list(_places(root))
     lines, printed = _printed(root)
+    fragile = {}
     out = []
     for edit in edits:
-        node, put, home = places[edit["node_pos"]]
+        node, put, home, in_header = places[edit["node_pos"]]
         new = node
         if put is not None:
             new = _edited(node, edit["operator"], edit["choice"])
             put(new)
         place = printed.get(id(home))
         if place is None or home is root:
-            text = _text(root)
-            valid = text is not None and _root(text) is not None
+            text = printed_part = _text(root)
+            check = True
         else:
-            text, valid = _within(lines, place, new if home is node else home)
+            statement = new if home is node else home
+            header_only = in_header or (home is node and isinstance(new, HEADED))
+            text, printed_part = _spliced(lines, place, statement, header_only)
+            if id(home) not in fragile:
+                fragile[id(home)] = _fragile(home)
+            check = fragile[id(home)] or edit["operator"] in UNSAFE
         if put is not None:
             put(node)
+        valid = text is not None and (not check or _root(printed_part) is not None)
         out.append({**edit, "code": text, "is_valid": valid})
     return out
 
