@@ -12,11 +12,16 @@ def _planned(functions: DataFrame) -> DataFrame:
 
 
 def mutant_plan(functions: DataFrame) -> DataFrame:
-    """One row per mutant with what changes, without its text. Keeps all columns but the code."""
+    """One row per mutant with what changes, without its text. Keeps all columns but the code.
+
+    Outer, then filtered: for an inner explode Catalyst infers that the array
+    is not empty and pushes that below the parser call, which then runs twice.
+    """
     kept = [c for c in functions.columns if c != "code"]
     return (
         _planned(functions)
-        .select(*kept, F.posexplode("_edits").alias("mutant_idx", "_edit"))
+        .select(*kept, F.posexplode_outer("_edits").alias("mutant_idx", "_edit"))
+        .where("mutant_idx is not null")
         .select(*kept, "mutant_idx", "_edit.operator", "_edit.node_type", "_edit.node_pos", "_edit.choice")
     )
 
@@ -38,11 +43,11 @@ def mutants(functions: DataFrame, chunk: int = CHUNK, tasks: int | None = None)
     tasks = tasks or int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [c for c in functions.columns if c != "code"]
     edits = F.col("_edits")
-    # Null, and so no row, where there is nothing to change.
     starts = F.when(F.size(edits) > 0, F.sequence(F.lit(1), F.size(edits), F.lit(chunk)))
     chunked = (
         _planned(functions)
-        .select(*kept, "code", "_edits", F.explode(starts).alias("_start"))
+        .select(*kept, "code", "_edits", F.explode_outer(starts).alias("_start"))
+        .where("_start is not null")
         .select(*kept, "code", "_start", F.slice("_edits", F.col("_start"), F.lit(chunk)).alias("_edits"))
         .repartition(tasks, "_start", "code", *kept)
     )

@@ -51,6 +51,13 @@ def test_chunks_and_tasks_do_not_change_the_rows(spark):
     assert sorted(plan.collect()) == sorted((r.id, r.mutant_idx, r.operator, r.node_pos) for r in want)
 
 
+def test_python_runs_once_per_step(spark, tmp_path):
+    table(spark, {k: v[0] for k, v in GOLDEN.items()}).write.parquet(f"{tmp_path}/f")
+    df = spark.read.parquet(f"{tmp_path}/f")
+    for rows, steps in ((mutant_counts(df, ["id"]), 1), (mutant_plan(df), 1), (mutants(df), 2)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == steps
+
+
 CASES = [
     ("ROR", "def f(a, b, c):\n    return a < b < c", "def f(a, b, c):\n    return a > b"),
     ("ROR", "def f(a, b):\n    return a in b", "def f(a, b):\n    return a == b"),
