@@ -695,6 +695,17 @@ def incremental_stats(spark, sf):
     return incremental.committed_stats(spark, _two_drops(spark, sf))
 
 
+@query(f"WITH {BY_FILE_CTES} {BY_FILE}")
+def incremental_test_files(spark, sf):
+    """Mode A in three runs: a third of the test files, all of them, all of them again."""
+    out = scratch_path(spark, "mined")
+    files = code_files(spark, sf)
+    tests = listed(files).where(is_test_file())
+    for part in (tests.where("file_pos % 9 < 3"), tests, tests):
+        incremental.mine_new_test_files(spark, part, contents(files), out)
+    return incremental.committed_data_pairs(spark, out)
+
+
 @query(f"WITH {FN} SELECT name AS function_name, count(DISTINCT name) AS num_rows FROM fn GROUP BY 1")
 def streaming_dedup(spark, sf):
     """One row per name; which one depends on arrival, so only the names are compared."""

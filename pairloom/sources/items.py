@@ -14,10 +14,14 @@ def _ord(file_ord: int, part: Column, block: Column, pos: Column) -> Column:
 
 
 def array_items(texts: DataFrame, value: str = "value") -> DataFrame:
-    """One row per element of the JSON array in each row: ``pos`` and the element as VARIANT."""
+    """One row per element of the JSON array in each row: ``pos`` and the element as VARIANT.
+
+    Outer, then filtered: the check for an empty array that Catalyst infers
+    from an inner explode would parse every text twice.
+    """
     others = [c for c in texts.columns if c != value]
     elements = F.parse_json(F.col(value)).cast("array<variant>")
-    return texts.select(*others, F.posexplode(elements).alias("pos", "item"))
+    return texts.select(*others, F.posexplode_outer(elements).alias("pos", "item")).where("pos is not null")
 
 
 def read_items(spark: SparkSession, path: str, fmt: str = "jsonl", file_ord: int = 0) -> DataFrame:

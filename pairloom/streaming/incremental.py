@@ -18,7 +18,8 @@ from pairloom.operators.extract import named_functions, parse_files
 from pairloom.operators.joins import skip_known
 from pairloom.operators.pairing import pair_listed
 from pairloom.operators.stats import repo_stats
-from pairloom.schemas import CODE_FILES, FUNCTION_PAIRS, PARSED, REPO_LEDGER, REPO_STATS
+from pairloom.plans.mine import mine_by_test_file
+from pairloom.schemas import CODE_FILES, DATA_PAIRS, FILE_LEDGER, FUNCTION_PAIRS, PARSED, REPO_LEDGER, REPO_STATS
 from pairloom.sources.state import read_table
 
 PARSED_FILES = T.StructType([f for f in CODE_FILES if f.name != "content"] + list(PARSED))
@@ -86,6 +87,23 @@ def mine_available(spark: SparkSession, landing: str, out: str) -> int | None:
     return pair_new_repositories(spark, out)
 
 
+def mine_new_test_files(spark: SparkSession, file_list: DataFrame, contents: DataFrame, out: str) -> int:
+    """Mode A over the listed test files that are not in the ledger; returns the batch number.
+
+    Test files without tests are not entered, so a later run looks at them again.
+    """
+    batch = last_batch(spark, out) + 1
+    ledger = read_committed(spark, out, "ledger", FILE_LEDGER)
+    mined = mine_by_test_file(file_list, contents, ledger)
+    _write_batch(mined.pairs, out, "pairs", batch)
+    _write_batch(mined.done, out, "ledger", batch)
+    return batch
+
+
+def committed_data_pairs(spark: SparkSession, out: str) -> DataFrame:
+    return read_committed(spark, out, "pairs", DATA_PAIRS)
+
+
 def committed_pairs(spark: SparkSession, out: str) -> DataFrame:
     return read_committed(spark, out, "pairs", FUNCTION_PAIRS)
 

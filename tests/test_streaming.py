@@ -5,7 +5,7 @@ import pytest
 from pairloom.operators.extract import extract_functions
 from pairloom.operators.pairing import pair_listed
 from pairloom.streaming import dedup, incremental
-from test_pairing import SCHEMA, random_repository
+from test_pairing import SCHEMA, brute_by_file, random_repository
 
 
 def drop(spark, rows, landing):
@@ -70,6 +70,16 @@ def test_parsing_twice_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{out}/parsed").count() == parsed
 
 
+def test_mode_a_runs_add_up(spark, tmp_path):
+    rows = random_repository(14)
+    files = spark.createDataFrame(rows, SCHEMA)
+    tests = files.where("file_path like 'tests/%'").drop("content")
+    for part in (tests.where("file_pos % 3 = 0"), tests, tests):
+        incremental.mine_new_test_files(spark, part, files.drop("file_pos"), f"{tmp_path}/out")
+    got = sorted(tuple(r) for r in incremental.committed_data_pairs(spark, f"{tmp_path}/out").collect())
+    assert got == brute_by_file(rows, [r for r in rows if r[1].startswith("tests/")])
+
+
 def test_streaming_dedup_remembers_names_across_drops(spark, tmp_path):
     landing, out = f"{tmp_path}/in", f"{tmp_path}/out"
     schema = spark.createDataFrame([], "function_name string, pos int").schema
