@@ -1,6 +1,6 @@
 """Named queries over the given tables, and SQL that must give the same rows."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.functions.mutants import ARITHMETIC, COMPARISON
 from pairloom.functions.names import file_key, tree_order
@@ -40,7 +40,7 @@ def doc_files(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.derived(spark, sf, inputs.DOC_FILES, "documents")
 
 
-def is_test_file() -> F.Column:
+def is_test_file() -> Column:
     return F.startswith(F.col("file_path"), F.lit("tests/"))
 
 
@@ -378,6 +378,29 @@ def files_by_repo(spark, sf):
     return stats.files_by_repo(code_files(spark, sf))
 
 
+@query(f"SELECT * FROM ({PAIRS})")
+def pairs_appended(spark, sf):
+    """Pairs added to a table in two writes; before the first it reads as empty."""
+    path = scratch_path(spark, "pairs")
+    pairs = state.read_pairs_or_empty(spark, path)
+    mined = stored(pairs_mode_b(spark, sf), "mined")
+    hot = F.substring("repository", 6, 9).cast("int") < 12
+    for part in (mined.where(hot), mined.where(~hot)):
+        tables.append_pairs(part, path)
+    return pairs.unionByName(state.read_pairs_or_empty(spark, path))
+
+
+@query(f"SELECT DISTINCT repository_full_name FROM ({CF})")
+def ledger_appended(spark, sf):
+    path = scratch_path(spark, "ledger")
+    files = code_files(spark, sf)
+    done = quarter_of_repos(files)
+    tables.append_ledger(done, path)
+    rest = joins.skip_known(files, state.read_ledger(spark, path), ["repository_full_name"])
+    tables.append_ledger(rest.select("repository_full_name").distinct(), path)
+    return state.read_ledger(spark, path)
+
+
 @query(f"SELECT repository, count(*) AS num_pairs FROM ({PAIRS}) GROUP BY 1")
 def pairs_per_repo(spark, sf):
     return stats.pairs_per_repo(pairs_mode_b(spark, sf))
@@ -486,6 +509,13 @@ def sft_two_field(spark, sf):
     return curate.input_output(pairs_mode_b(spark, sf))
 
 
+@query(SFT)
+def sft_two_field_items(spark, sf):
+    """From raw items, where a missing key would fail the job."""
+    pairs = pairs_mode_b(spark, sf)
+    return curate.input_output_items(pairs.select(F.parse_json(F.to_json(F.struct("*"))).alias("item")))
+
+
 LABELLED = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 LABEL_TEST = "CASE WHEN l.quality = 1 THEN 'def test_f():' || chr(10) || '    assert \"é\"' END"
 
@@ -663,7 +693,21 @@ def mutate_udtf(spark, sf):
     )
 
 
-@query()
+@query(
+    f"""
+SELECT repo AS repository_full_name, path AS file_path, CAST(fn_pos AS INTEGER) AS fn_pos,
+       CAST(idx AS INTEGER) AS mutant_idx, operator, node_type, CAST(node_pos AS INTEGER) AS node_pos,
+       'def ' || name || text AS code, idx = 0 AND operator = 'SCI' AS is_noop, true AS is_valid
+FROM ({DOC_FN}) JOIN (VALUES
+    ('g', 0, 'COD_RET', 'Return', 2, '(x):' || chr(10) || '    pass'),
+    ('f', 0, 'SCI', 'FunctionDef', 0, '(self, x):' || chr(10) || '    return x'),
+    ('f', 1, 'COD_RET', 'Return', 2, '(self, x):' || chr(10) || '    pass'),
+    ('t', 0, 'CRP_NUM', 'Constant', 3, '():' || chr(10) || '    assert 0'),
+    ('t', 1, 'CRP_NUM', 'Constant', 3, '():' || chr(10) || '    assert -1'),
+    ('t', 2, 'CRP_NUM', 'Constant', 3, '():' || chr(10) || '    assert 2'),
+    ('t', 3, 'CRP_NUM', 'Constant', 3, '():' || chr(10) || '    assert 0')
+) m(kind, idx, operator, node_type, node_pos, text) ON left(name, 1) = kind"""
+)
 def mutants_of_documents(spark, sf):
     """Functions that carry whole texts; comments do not survive rendering."""
     functions = extract.extract_functions(doc_files(spark, sf))

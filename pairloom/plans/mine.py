@@ -22,8 +22,13 @@ class Mined(NamedTuple):
 
 
 def mine_listed(file_list: DataFrame, contents: DataFrame, ledger: DataFrame) -> Mined:
-    """Mode B: pairs inside the listed files of every repository that is not in the ledger."""
-    todo = skip_known(valid_files(file_list), ledger, REPO)
+    """Mode B: pairs inside the listed files of every repository that is not in the ledger.
+
+    Of a file listed more than once the last place counts, as its functions
+    would overwrite themselves.
+    """
+    listed = skip_known(valid_files(file_list), ledger, REPO)
+    todo = listed.groupBy(*FILE).agg(F.max("file_pos").alias("file_pos"))
     pairs = pair_listed(extract_functions(attach_content(todo, contents), last_only=True))
     return Mined(pairs, todo.select(*REPO).distinct(), repo_stats(todo, pairs))
 

@@ -26,12 +26,12 @@ PARSED_FILES = T.StructType([f for f in CODE_FILES if f.name != "content"] + lis
 BATCH = T.StructField("batch_id", T.LongType())
 
 
-def start_parsing(spark: SparkSession, landing: str, out: str) -> StreamingQuery:
-    """Parse every file that has landed and was not parsed before, for the next batch, then stop."""
+def start_parsing(spark: SparkSession, landing: str, out: str, batch: int) -> StreamingQuery:
+    """Parse every file that has landed and was not parsed before, for ``batch`` to pair, then stop."""
     files = spark.readStream.schema(CODE_FILES).parquet(landing)
     return (
         parse_files(files)
-        .withColumn("batch_id", F.lit(last_batch(spark, out) + 1).cast("long"))
+        .withColumn("batch_id", F.lit(batch).cast("long"))
         .writeStream.format("parquet")
         .partitionBy("batch_id")
         .option("checkpointLocation", f"{out}/_parsing")
@@ -44,9 +44,10 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, BATCH])
 
 
-def read_committed(spark: SparkSession, out: str, table: str, schema: T.StructType) -> DataFrame:
-    """Rows of finished batches: those up to the last one in the ledger."""
-    last = last_batch(spark, out)
+def read_committed(spark: SparkSession, out: str, table: str, schema: T.StructType, last: int | None = None) -> DataFrame:
+    """Rows of finished batches: those up to ``last``, by default the last one in the ledger."""
+    if last is None:
+        last = last_batch(spark, out)
     rows = read_table(spark, f"{out}/{table}", _with_batch(schema))
     return rows.where(F.col("batch_id") <= last).drop("batch_id")
 
@@ -63,14 +64,13 @@ def _write_batch(rows: DataFrame, out: str, table: str, batch: int) -> DataFrame
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def pair_new_repositories(spark: SparkSession, out: str) -> int | None:
+def pair_new_repositories(spark: SparkSession, out: str, batch: int) -> int | None:
     """Pair the parsed files of repositories that are not done; returns the batch number, None if all are done.
 
     As a done repository is skipped for good, files that arrive for it later
     are parsed and not paired.
     """
-    batch = last_batch(spark, out) + 1
-    ledger = read_committed(spark, out, "ledger", REPO_LEDGER)
+    ledger = read_committed(spark, out, "ledger", REPO_LEDGER, batch - 1)
     parsed = read_table(spark, f"{out}/parsed", _with_batch(PARSED_FILES)).where(F.col("batch_id") == batch).drop("batch_id")
     todo = skip_known(parsed, ledger, REPO_LEDGER.fieldNames())
     if todo.isEmpty():
@@ -83,8 +83,9 @@ def pair_new_repositories(spark: SparkSession, out: str) -> int | None:
 
 def mine_available(spark: SparkSession, landing: str, out: str) -> int | None:
     """One resumable run over whatever has landed."""
-    start_parsing(spark, landing, out).awaitTermination()
-    return pair_new_repositories(spark, out)
+    batch = last_batch(spark, out) + 1
+    start_parsing(spark, landing, out, batch).awaitTermination()
+    return pair_new_repositories(spark, out, batch)
 
 
 def mine_new_test_files(spark: SparkSession, file_list: DataFrame, contents: DataFrame, out: str) -> int:
@@ -93,7 +94,7 @@ def mine_new_test_files(spark: SparkSession, file_list: DataFrame, contents: Dat
     Test files without tests are not entered, so a later run looks at them again.
     """
     batch = last_batch(spark, out) + 1
-    ledger = read_committed(spark, out, "ledger", FILE_LEDGER)
+    ledger = read_committed(spark, out, "ledger", FILE_LEDGER, batch - 1)
     mined = mine_by_test_file(file_list, contents, ledger)
     _write_batch(mined.pairs, out, "pairs", batch)
     _write_batch(mined.done, out, "ledger", batch)

@@ -1,5 +1,4 @@
 import ast
-import glob
 import os
 
 import pytest

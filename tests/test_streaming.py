@@ -1,5 +1,3 @@
-import shutil
-
 import pytest
 
 from pairloom.operators.extract import extract_functions
@@ -64,9 +62,9 @@ def test_a_run_that_died_before_its_ledger_is_repeated_once(spark, tmp_path, mon
 def test_parsing_twice_adds_nothing(spark, tmp_path):
     landing, out = f"{tmp_path}/in", f"{tmp_path}/out"
     drop(spark, random_repository(13), landing)
-    incremental.start_parsing(spark, landing, out).awaitTermination()
+    incremental.start_parsing(spark, landing, out, 0).awaitTermination()
     parsed = spark.read.parquet(f"{out}/parsed").count()
-    incremental.start_parsing(spark, landing, out).awaitTermination()
+    incremental.start_parsing(spark, landing, out, 0).awaitTermination()
     assert spark.read.parquet(f"{out}/parsed").count() == parsed
 
 
