@@ -42,6 +42,16 @@ def keep_known(df: DataFrame, table: DataFrame, keys: list[str], spread: str = "
     return _by_keys(df, table, keys, spread, "left_semi", rows)
 
 
+def narrow_to(df: DataFrame, table: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Drop rows that a later step would drop anyway, where a broadcast of counted size can do it.
+
+    With more keys ``df`` comes back as it is: the later step then shuffles
+    all of it, which is no worse than a shuffle for this filter.
+    """
+    wanted = table.select(*keys)
+    return df.join(F.broadcast(wanted), keys, "left_semi") if _fits(wanted, rows) else df
+
+
 def attach_content(file_list: DataFrame, contents: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The landed content of each listed file; listed files that never arrived drop out.
 

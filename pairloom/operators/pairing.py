@@ -8,7 +8,8 @@ the *first* file, in tree order, that has the name.
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.names import tree_order
-from pairloom.operators.joins import skewed_lookup
+from pairloom.operators.joins import BROADCAST_ROWS, narrow_to, skewed_lookup
+from pairloom.session import stored
 
 KEYS = ["repository_full_name", "base_name"]
 
@@ -46,6 +47,21 @@ def pair_listed(functions: DataFrame) -> DataFrame:
     )
 
 
+def with_partner(functions: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Functions whose base name has both a test and a function in the repository.
+
+    For functions that are stored: a pass over the names alone finds the few
+    keys that pair, and the code of all others is then not shuffled.
+    """
+    keys = (
+        functions.groupBy(*KEYS)
+        .agg(F.bool_or("is_test").alias("tested"), F.bool_and("is_test").alias("only_tests"))
+        .where("tested and not only_tests")
+        .select(*KEYS)
+    )
+    return narrow_to(functions, stored(keys, "keys"), KEYS, rows)
+
+
 def unmatched_listed(functions: DataFrame) -> DataFrame:
     """Tests of mode B without a function. Same plan, but no code is shuffled."""
     return (

@@ -5,7 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.operators.extract import extract_functions, files_with_tests, extract_tests
-from pairloom.operators.joins import attach_content, heavy_keys, keep_known, skip_known
+from pairloom.operators.joins import attach_content, heavy_keys, keep_known, narrow_to, skip_known
 from pairloom.operators.pairing import KEYS, pair_by_test_file, pair_listed
 from pairloom.operators.stats import repo_stats
 from pairloom.operators.validate import source_files, valid_files
@@ -48,5 +48,8 @@ def mine_by_test_file(
     sources = keep_known(source_files(contents), tests.select(*REPO).distinct(), REPO)
     # In-file winners only: names repeat across files, not within one.
     candidates = extract_functions(sources.select(*FILE, "content"), last_only=True)
+    # Only functions that a test asks for need to be shuffled with their code.
+    asked = tests.select("repository_full_name", F.col("base_name").alias("name")).distinct()
+    candidates = narrow_to(candidates, asked, ["repository_full_name", "name"])
     hot = heavy_keys(tests, KEYS)
     return Mined(pair_by_test_file(tests, candidates, hot), files_with_tests(tests))

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.operators.extract import named_functions, parse_files
 from pairloom.operators.joins import skip_known
-from pairloom.operators.pairing import pair_listed
+from pairloom.operators.pairing import pair_listed, with_partner
 from pairloom.operators.stats import repo_stats
 from pairloom.plans.mine import mine_by_test_file
 from pairloom.schemas import CODE_FILES, DATA_PAIRS, FILE_LEDGER, FUNCTION_PAIRS, PARSED, REPO_LEDGER, REPO_STATS
@@ -75,7 +75,7 @@ def pair_new_repositories(spark: SparkSession, out: str, batch: int) -> int | No
     todo = skip_known(parsed, ledger, REPO_LEDGER.fieldNames())
     if todo.isEmpty():
         return None
-    pairs = _write_batch(pair_listed(named_functions(todo)), out, "pairs", batch)
+    pairs = _write_batch(pair_listed(with_partner(named_functions(todo))), out, "pairs", batch)
     stats = _write_batch(repo_stats(todo.select("repository_full_name").distinct(), pairs), out, "stats", batch)
     _write_batch(stats.select(F.col("repository").alias("repository_full_name")), out, "ledger", batch)
     return batch

@@ -2,7 +2,7 @@ import random
 
 from pairloom.operators.extract import collapse_across_files, extract_functions, files_with_tests, extract_tests
 from pairloom.operators.joins import attach_content, heavy_keys, keep_known, skip_known
-from pairloom.operators.pairing import KEYS, pair_by_test_file, pair_listed, unmatched_by_test_file, unmatched_listed
+from pairloom.operators.pairing import KEYS, pair_by_test_file, pair_listed, unmatched_by_test_file, unmatched_listed, with_partner
 from pairloom.operators.stats import repo_stats, run_totals
 from pairloom.operators.validate import source_files
 from pairloom.plans.mine import mine_by_test_file, mine_listed
@@ -122,6 +122,15 @@ def test_mode_a_against_brute_force_with_and_without_salting(spark):
         assert unmatched + len(want) == tests.count()
 
 
+def test_narrowing_changes_nothing(spark):
+    rows = random_repository(6)
+    functions = extract_functions(make(spark, rows))
+    for bound in (0, 10_000):
+        narrowed = with_partner(functions, bound)
+        assert sorted(tuple(r) for r in pair_listed(narrowed).collect()) == brute_listed(rows)
+        assert (narrowed.count() < functions.count()) == (bound > 0)
+
+
 def test_pairs_have_one_row_per_repository_and_name(spark):
     pairs = pair_listed(extract_functions(make(spark, random_repository(9))))
     assert pairs.count() == pairs.select("repository", "function_name").distinct().count()
