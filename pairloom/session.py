@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Source files are far wider than ordinary rows: the default Arrow batch of
-# 10,000 rows could hold gigabytes of text.
-ARROW_ROWS = "256"
+# 10,000 rows could hold gigabytes of text, and a string column of a batch must
+# stay below two.
+ARROW_ROWS = "64"
 
 RUNTIME_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS,

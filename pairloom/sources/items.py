@@ -38,7 +38,7 @@ def read_items(spark: SparkSession, path: str, fmt: str = "jsonl", file_ord: int
         # Rows of a block are read in line order by one task, so a growing id orders them.
         return (
             spark.read.text(path)
-            .where("trim(value) <> ''")
+            .where(F.rlike("value", F.lit(r"\S")))
             .select(
                 _ord(file_ord, meta["file_path"], meta["file_block_start"], F.monotonically_increasing_id()),
                 F.parse_json("value").alias("item"),

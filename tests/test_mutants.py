@@ -46,6 +46,7 @@ def test_chunks_and_tasks_do_not_change_the_rows(spark):
     df = table(spark, {k: v[0] for k, v in GOLDEN.items()})
     want = sorted(mutants(df).collect())
     assert want == sorted(mutants(df, chunk=1, tasks=3).collect()) == sorted(mutants(df, chunk=7, tasks=1).collect())
+    assert want == sorted(mutants(df, chunk_chars=100).collect()) == sorted(mutants(df, chunk_chars=1).collect())
     plan = mutant_plan(df).select("id", "mutant_idx", "operator", "node_pos")
     assert sorted(plan.collect()) == sorted((r.id, r.mutant_idx, r.operator, r.node_pos) for r in want)
 
