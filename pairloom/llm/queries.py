@@ -2,8 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.llm.decontaminate import benchmark_matches
 from pairloom.llm.frames import table
 from pairloom.llm.jaccard import jaccard_components
+from pairloom.llm.licenses import license_labels
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -17,3 +19,13 @@ def query(run):
 @query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -18,7 +18,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PUNCTUATION = np.zeros(256, bool)
-_PUNCTUATION[0:48] = _PUNCTUATION[58:97] = _PUNCTUATION[123:128] = True
+_PUNCTUATION[0:48] = _PUNCTUATION[58:65] = _PUNCTUATION[91:97] = _PUNCTUATION[123:128] = True
 
 SPACED, ALPHANUMERIC = "spaced", "alphanumeric"
 
