@@ -6,6 +6,7 @@ from pairloom.llm.decontaminate import benchmark_matches
 from pairloom.llm.frames import table
 from pairloom.llm.jaccard import jaccard_components
 from pairloom.llm.licenses import license_labels
+from pairloom.llm.toxicity import toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
