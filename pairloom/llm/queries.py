@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.decontaminate import benchmark_matches
 from pairloom.llm.frames import table
+from pairloom.llm.fst import token_counts
 from pairloom.llm.jaccard import jaccard_components
 from pairloom.llm.licenses import license_labels
 from pairloom.llm.toxicity import toxicity
@@ -35,3 +36,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 @query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
