@@ -7,6 +7,7 @@ from pairloom.llm.frames import table
 from pairloom.llm.fst import token_counts
 from pairloom.llm.jaccard import jaccard_components
 from pairloom.llm.licenses import license_labels
+from pairloom.llm.planes import binary_output
 from pairloom.llm.toxicity import toxicity
 
 QUERIES = {}
@@ -41,3 +42,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_output(table(spark, sf_dir, "documents"))
