@@ -2,10 +2,44 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.llm import decontaminate, jaccard, mixing, planes, toxicity as toxic
 from pairloom.llm.frames import table
 from pairloom.session import stored
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the labels, does not call toxic."""
+    model = toxic.fit(docs, table(spark, sf_dir, "labels").where(~toxic.held_out()))
+    return toxic.without_toxic(docs, model)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens meet the flattened margins of source, language and topic."""
+    return mixing.mixed(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left; what was read back from them."""
+    return planes.binary_output(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("token_output", write_tokens),
+]
 # Learned scores and approximate matching have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 

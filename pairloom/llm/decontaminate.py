@@ -11,6 +11,8 @@ Documents are never shuffled. The windows are a broadcast index of bounded
 size; a larger benchmark is searched in blocks.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -206,21 +208,16 @@ def benchmark_matches(
     """
     spark = tuned(docs.sparkSession)
     docs = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     schema = "doc_id long, item_id long, n_windows long, edits long, first_byte long, end_byte long"
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(Windows([tuple(r) for r in rows], window, stride, edit_rate))
+    for index in _indexes(benchmark, item_col, item_text_col, window, stride, edit_rate):
+        shared = spark.sparkContext.broadcast(index)
 
-        def run(batch: pa.RecordBatch, index=index):
+        def run(batch: pa.RecordBatch, shared=shared):
             ids = batch.column(0).to_numpy()
             best: dict[tuple[int, int], list[int]] = {}
-            for t, w, edits, begin, end in find_windows(index.value, *column_bytes(batch.column(1))):
-                item = index.value.item[w]
+            for t, w, edits, begin, end in find_windows(shared.value, *column_bytes(batch.column(1))):
+                item = shared.value.item[w]
                 row = best.setdefault((t, item), [0, edits, begin, end])
                 row[:] = row[0] + 1, min(row[1], edits), min(row[2], begin), max(row[3], end)
             if not best:
@@ -233,7 +230,39 @@ def benchmark_matches(
     return out
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents with none of the items, all columns as they are; rows with a null id stay."""
-    hit = benchmark_matches(docs, benchmark, id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, stride: int, edit_rate: float) -> Iterator[Windows]:
+    """The items in blocks of bounded size, at least one."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield Windows([tuple(r) for r in rows], window, stride, edit_rate)
+
+
+def without_matches(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    stride: int = STRIDE,
+    edit_rate: float = EDIT_RATE,
+) -> DataFrame:
+    """The rows with a passage of none of the items, all columns as they are. Nothing is shuffled."""
+    spark = tuned(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for index in _indexes(benchmark, item_col, item_text_col, window, stride, edit_rate):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for row in find_windows(shared.value, *column_bytes(batch.column(at))):
+                    clean[row[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

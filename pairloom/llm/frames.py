@@ -33,6 +33,14 @@ def shuffle_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_dealt(stored_rows: DataFrame) -> DataFrame:
+    """A stored table of few narrow columns for a join: broadcast up to a counted number of rows, else joined by a shuffle."""
+    return F.broadcast(stored_rows) if stored_rows.count() <= BROADCAST_ROWS else stored_rows
+
+
 def mapped(df: DataFrame, schema: str, run) -> DataFrame:
     """``mapInArrow`` with one function from a record batch to a dict of columns, or to none."""
     names = [field.split()[0] for field in _fields(schema)]

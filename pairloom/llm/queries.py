@@ -7,6 +7,8 @@ from pairloom.llm.frames import table
 from pairloom.llm.fst import token_counts
 from pairloom.llm.jaccard import jaccard_components
 from pairloom.llm.licenses import license_labels
+from pairloom.llm import mixing
+from pairloom.llm.mixing import mixing_probabilities
 from pairloom.llm.planes import binary_output
 from pairloom.llm.toxicity import toxicity
 
@@ -47,3 +49,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_probabilities(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_mixing"] = mixing.oracle_sql()
