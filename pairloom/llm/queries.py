@@ -8,6 +8,7 @@ from pairloom.llm.fst import token_counts
 from pairloom.llm.jaccard import jaccard_components
 from pairloom.llm.licenses import license_labels
 from pairloom.llm import mixing
+from pairloom.llm.maxent import language_scores
 from pairloom.llm.mixing import mixing_probabilities
 from pairloom.llm.planes import binary_output
 from pairloom.llm.toxicity import toxicity
@@ -57,3 +58,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_mixing"] = mixing.oracle_sql()
+
+
+@query
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
