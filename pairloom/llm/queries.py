@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.decontaminate import benchmark_matches
 from pairloom.llm.frames import table
 from pairloom.llm.fst import token_counts
+from pairloom.llm.itq import embedding_duplicates
 from pairloom.llm.jaccard import jaccard_components
 from pairloom.llm.licenses import license_labels
 from pairloom.llm import mixing
@@ -63,3 +64,8 @@ ORACLES["op4_mixing"] = mixing.oracle_sql()
 @query
 def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
