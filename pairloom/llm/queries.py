@@ -13,6 +13,7 @@ from pairloom.llm.maxent import language_scores
 from pairloom.llm.mixing import mixing_probabilities
 from pairloom.llm.planes import binary_output
 from pairloom.llm.toxicity import toxicity
+from pairloom.llm.urls import url_verdicts
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,8 @@ def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
