@@ -21,7 +21,8 @@ from pairloom.llm.frames import id_and_text, mapped, tuned
 from pairloom.llm.words import column_bytes
 
 Q = 12
-WINDOW, STRIDE = 120, 60
+# Any part of an item of 119 compared characters holds a whole window.
+WINDOW, STRIDE = 80, 40
 EDIT_RATE = 0.06
 MIN_CHARS = 25
 BLOCK_BYTES = 1 << 20

@@ -13,7 +13,7 @@ def corpus(spark, documents):
 
 def test_margins_meet_the_targets(spark, corpus):
     targets = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.19, "unknown": 0.01}}
-    got = mixing.mixing_probabilities(corpus, targets=targets, keep=0.2).toPandas()
+    got = mixing.mixing_probabilities(corpus, targets=targets, power=1.0, keep=0.2).toPandas()
     got["expected"] = got.probability * got.n_tokens
     share = got.groupby("source").expected.sum() / got.expected.sum()
     for level, want in targets["source"].items():
