@@ -10,18 +10,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.names import base_name, is_test
 from pairloom.functions.python_source import functions_of, last_functions_of
+from pairloom.functions.text import utf8_ignoring_errors
 from pairloom.operators.validate import with_content
 
 
-def parse_files(files: DataFrame, last_only: bool = False) -> DataFrame:
+def parse_files(files: DataFrame, last_only: bool = False, keep_empty: bool = False) -> DataFrame:
     """One row per function and one nameless row per file without any; keeps the other columns.
 
     ``last_only`` applies the in-file rule "the last function of a name wins"
-    without a shuffle.
+    without a shuffle. Files without content are left out; with ``keep_empty``
+    they have a nameless row of status ``empty``, so that their repository is
+    not lost. Bytes that are not UTF-8 are dropped.
     """
     parse = last_functions_of if last_only else functions_of
     kept = [c for c in files.columns if c != "content"]
-    return with_content(files).select(*kept, F.inline(parse("content")))
+    found = parse(utf8_ignoring_errors(F.col("content")))
+    if not keep_empty:
+        return with_content(files).select(*kept, F.inline(found))
+    filled = F.coalesce(F.col("content") != "", F.lit(False))
+    rows = files.select(*kept, filled.alias("_filled"), F.inline_outer(found))
+    status = F.when(F.col("_filled"), F.col("parse_status")).otherwise("empty")
+    return rows.withColumn("parse_status", status).drop("_filled")
 
 
 def named_functions(parsed: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairloom.functions.mutants import ARITHMETIC, COMPARISON
 from pairloom.functions.names import file_key, tree_order
 from pairloom.functions.sql import register
 from pairloom.operators import curate, extract, joins, mutate, pairing, split, stats, validate
 from pairloom.plans import inputs
-from pairloom.plans.curate import merge_pair_files
+from pairloom.plans.curate import merge_pair_files, write_input_output, write_instructions
 from pairloom.plans.mine import mine_by_test_file, mine_listed
-from pairloom.schemas import FILE_LEDGER, FUNCTION_PAIRS, INSTRUCTION, UNNAMED_FUNCTION
+from pairloom.schemas import FILE_LEDGER, FUNCTION_PAIRS
 from pairloom.session import scratch_path, spread, stored, tune
 from pairloom.sinks import tables
 from pairloom.sources import files as file_sources, items as item_sources, state
@@ -520,13 +519,13 @@ LABELLED = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 LABEL_TEST = "CASE WHEN l.quality = 1 THEN 'def test_f():' || chr(10) || '    assert \"é\"' END"
 
 
-@query(f"SELECT d.doc_id, '{INSTRUCTION}' AS instruction, d.text AS input, {LABEL_TEST} AS output FROM {LABELLED} WHERE l.quality IS NOT NULL")
+@query(f"SELECT d.doc_id, '为以下 Python 函数编写对应的单元测试代码。' AS instruction, d.text AS input, {LABEL_TEST} AS output FROM {LABELLED} WHERE l.quality IS NOT NULL")
 def sft_instruction(spark, sf):
     return curate.instruction_records(pair_items(spark, sf), keep=["doc_id"])
 
 
 @query(
-    f"""SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN '{UNNAMED_FUNCTION}' ELSE 'f_' || CAST(d.doc_id AS VARCHAR) END AS function_name
+    f"""SELECT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN '未知函数' ELSE 'f_' || CAST(d.doc_id AS VARCHAR) END AS function_name
 FROM {LABELLED} WHERE l.quality IS NULL"""
 )
 def sft_skipped(spark, sf):
@@ -538,7 +537,7 @@ def sft_counts(spark, sf):
     return pair_items(spark, sf).agg(*curate.instruction_counts())
 
 
-@query(f"SELECT '{INSTRUCTION}' AS instruction, d.text AS input, {LABEL_TEST} AS output FROM {LABELLED} WHERE l.quality IS NOT NULL")
+@query(f"SELECT '为以下 Python 函数编写对应的单元测试代码。' AS instruction, d.text AS input, {LABEL_TEST} AS output FROM {LABELLED} WHERE l.quality IS NOT NULL")
 def sft_jsonl_roundtrip(spark, sf):
     """Written as JSON Lines and read back; nulls and non-ASCII text survive."""
     path = scratch_path(spark, "records")
@@ -547,6 +546,70 @@ def sft_jsonl_roundtrip(spark, sf):
     return spark.read.schema(records.schema).json(path)
 
 
+NAMED_ITEMS = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+
+
+def _named_items(spark: SparkSession, sf: str) -> list[str]:
+    """Two JSON Lines files of raw items, the second with names of the first and with names that are null."""
+    rows = inputs.derived(spark, sf, inputs.PAIR_ITEMS, "documents", "labels")
+    name = F.when(F.col("doc_id") % 11 == 0, "null").otherwise(
+        F.concat(F.lit('"f_'), (F.col("doc_id") % 400).cast("string"), F.lit('"'))
+    )
+    test = F.regexp_replace("head", r'^\{("function_name":"[^"]*",)?', "")
+    code = F.substring(F.to_json(F.struct(F.col("text").alias("function_code"))), 2, 2**31 - 1)
+    item = F.concat(F.lit('{"function_name":'), name, F.lit(","), test, code)
+    paths = []
+    for file_ord in (0, 1):
+        paths.append(scratch_path(spark, "items"))
+        rows.where(F.col("doc_id") % 2 == file_ord).orderBy("doc_id").select(item).write.text(paths[-1])
+    return paths
+
+
+FIRST_NAMED = f"""SELECT * FROM (SELECT d.doc_id, d.text, l.quality, row_number() OVER (
+    PARTITION BY CASE WHEN d.doc_id % 11 = 0 THEN 'null' ELSE CAST(d.doc_id % 400 AS VARCHAR) END
+    ORDER BY d.doc_id % 2, d.doc_id) AS k FROM {NAMED_ITEMS}) l WHERE k = 1"""
+
+
+@query(
+    f"""SELECT '为以下 Python 函数编写对应的单元测试代码。' AS instruction, l.text AS input, {LABEL_TEST} AS output
+FROM ({FIRST_NAMED}) l WHERE l.quality IS NOT NULL"""
+)
+def curate_instructions(spark, sf):
+    """The whole job over two files: the first item of each name, a null name being one; read back."""
+    out = scratch_path(spark, "records")
+    write_instructions(spark, _named_items(spark, sf), out)
+    return spark.read.schema("instruction string, input string, output string").json(out)
+
+
+@query(
+    f"""SELECT count(*) FILTER (WHERE quality IS NOT NULL) AS converted, count(*) FILTER (WHERE quality IS NULL) AS skipped
+FROM {NAMED_ITEMS}"""
+)
+def curate_instructions_unmerged(spark, sf):
+    """Every item, the nameless ones too: counts of the job that writes."""
+    path, out = scratch_path(spark, "items"), scratch_path(spark, "records")
+    pair_items(spark, sf).select(F.to_json("item")).write.text(path)
+    counts = write_instructions(spark, [path], out, merge=False)
+    return spark.createDataFrame([(counts["converted"], counts["skipped"])], "converted long, skipped long")
+
+
+@query(
+    f"""SELECT text AS input, 'def test_f(): pass' AS output FROM (SELECT text, row_number() OVER (
+    PARTITION BY doc_id % 400 ORDER BY doc_id) AS k FROM documents) WHERE k = 1"""
+)
+def curate_input_output(spark, sf):
+    """The whole strict job, read back."""
+    path, out = scratch_path(spark, "items"), scratch_path(spark, "records")
+    docs = inputs.table(spark, sf, "documents").orderBy("doc_id")
+    docs.select(
+        F.concat(F.lit("f_"), (F.col("doc_id") % 400).cast("string")).alias("function_name"),
+        F.col("text").alias("function_code"),
+        F.lit("def test_f(): pass").alias("test_function_code"),
+    ).write.json(path)
+    write_input_output(spark, [path], out)
+    return spark.read.schema("input string, output string").json(out)
+
+
 # --- positions and shards -------------------------------------------------
 
 
@@ -625,12 +688,12 @@ def _mutants_sql() -> str:
     add("f", "COI", "If", 2, source(cond="a > # or False"))
     add("f", "COD_IF", "If", 2, "def ?(a, b):~    pass~    return b")
     add("f", "COD_RET", "Return", 3, source(last="pass"))
-    for op in (o for o in COMPARISON if o != ">"):
+    for op in ("==", "!=", "<", "<=", ">="):
         add("f", "ROR", "Compare", 6, source(cond=f"a {op} #"))
     add("f", "COD_RET", "Return", 7, source(then="pass"))
     for number in ("0", "1", "-1", "size + 1", "size - 1"):
         add("f", "CRP_NUM", "Constant", 11, source(cond="a > @"), number)
-    for op in (o for o in ARITHMETIC if o != "+"):
+    for op in ("-", "*", "/", "%", "**", "//"):
         add("f", "AOR", "BinOp", 12, source(then=f"return a {op} b"))
     for name in ("a", "b"):
         add("f", "AOD", "BinOp", 12, source(then=f"return {name}"))
@@ -718,14 +781,28 @@ def mutants_of_documents(spark, sf):
 
 
 def _two_drops(spark: SparkSession, sf: str) -> str:
-    """Mine after each of two drops; a third run finds nothing new. Returns the output folder."""
+    """Mine after each of two drops; a third run finds nothing new. Returns the output folder.
+
+    Every fifth repository has files in both drops. Some repositories have
+    empty files only, and some files have no repository.
+    """
     landing, out = scratch_path(spark, "landing"), scratch_path(spark, "mined")
     files = code_files(spark, sf)
+    number = F.substring("repository_full_name", 6, 9).try_cast("int")
+    empty = files.where("file_pos % 14 = 0").select(
+        F.concat(F.lit("none/r"), (F.col("file_pos") % 5).cast("string")).alias("repository_full_name"),
+        "file_path",
+        "file_pos",
+        F.when(F.col("file_pos") % 4 == 0, "").alias("content"),
+    )
+    homeless = files.withColumn("repository_full_name", F.when(F.col("file_pos") % 2 == 0, ""))
+    every = stored(files.unionByName(empty).unionByName(homeless), "arriving")
+    expected = every.groupBy("repository_full_name").agg(F.count_distinct("file_path").alias("num_files"))
+    in_first = F.when(number % 5 == 0, F.col("file_pos") % 3 == 0).otherwise(number < 12)
     for is_first in (True, False):
-        drop = files.where((F.substring("repository_full_name", 6, 9).cast("int") < 12) == is_first)
-        drop.write.mode("append").parquet(landing)
-        incremental.mine_available(spark, landing, out)
-    incremental.mine_available(spark, landing, out)
+        every.where(F.coalesce(in_first, F.lit(True)) == is_first).write.mode("append").parquet(landing)
+        incremental.mine_available(spark, landing, out, expected)
+    incremental.mine_available(spark, landing, out, expected)
     return out
 
 
@@ -734,11 +811,34 @@ def incremental_pairs(spark, sf):
     return incremental.committed_pairs(spark, _two_drops(spark, sf))
 
 
-@query(STATS)
+@query(
+    f"""SELECT * FROM ({STATS})
+UNION ALL SELECT DISTINCT 'none/r' || CAST(file_pos % 5 AS VARCHAR), CAST(0 AS BIGINT) FROM ({CF}) WHERE file_pos % 14 = 0"""
+)
 def incremental_stats(spark, sf):
     return incremental.committed_stats(spark, _two_drops(spark, sf))
 
 
+def _committed_list(spark: SparkSession, sf: str) -> str:
+    """The job over half of the repositories, over all, and over all again."""
+    out = scratch_path(spark, "mined")
+    files = code_files(spark, sf)
+    half = listed(files).where(F.substring("repository_full_name", 6, 9).cast("int") < 12)
+    for part in (half, listed(files), listed(files)):
+        incremental.mine_file_list(spark, part, contents(files), out)
+    return out
+
+
+@query(PAIRS)
+def mine_listed_committed(spark, sf):
+    return incremental.committed_pairs(spark, _committed_list(spark, sf))
+
+
+@query(STATS)
+def mine_listed_committed_stats(spark, sf):
+    return incremental.committed_stats(spark, _committed_list(spark, sf))
+
+
 @query(f"WITH {BY_FILE_CTES} {BY_FILE}")
 def incremental_test_files(spark, sf):
     """Mode A in three runs: a third of the test files, all of them, all of them again."""

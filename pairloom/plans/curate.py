@@ -7,33 +7,55 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pairloom.operators.curate import (
     concatenate,
     input_output,
+    input_output_items,
     instruction_counts,
     instruction_records,
     keep_first,
-    text_of,
+    strict_text_of,
 )
 from pairloom.sinks.tables import write_jsonl
 from pairloom.sources.items import read_items, read_pairs
 
 
 def merge_pair_files(spark: SparkSession, paths: Sequence[str], fmt: str = "jsonl") -> DataFrame:
-    """First pair of every function name, in file and line order; ``ord`` is kept for the sink."""
+    """First pair of every function name, in file and line order; ``ord`` is kept for the sink.
+
+    Typed columns can not tell an absent name from a null one; jobs over raw
+    files use ``merge_items``.
+    """
     return keep_first(read_pairs(spark, paths, fmt))
 
 
+def raw_items(spark: SparkSession, paths: Sequence[str], fmt: str = "jsonl") -> DataFrame:
+    return concatenate([read_items(spark, p, fmt, i) for i, p in enumerate(paths)])
+
+
+def merge_items(spark: SparkSession, paths: Sequence[str], fmt: str = "jsonl") -> DataFrame:
+    """First raw item of every function name. An item without that key fails the job; a null name is one name."""
+    items = raw_items(spark, paths, fmt)
+    return keep_first(items.withColumn("function_name", strict_text_of("item", "function_name")))
+
+
 def write_input_output(spark: SparkSession, paths: Sequence[str], out: str, fmt: str = "jsonl") -> None:
-    merged = merge_pair_files(spark, paths, fmt)
-    write_jsonl(input_output(merged.orderBy("ord")), out)
+    """Two-field records of merged pairs; a missing name or code fails the job."""
+    if fmt == "parquet":
+        records = input_output(merge_pair_files(spark, paths, fmt).orderBy("ord"))
+    else:
+        records = input_output_items(merge_items(spark, paths, fmt).orderBy("ord"))
+    write_jsonl(records, out)
 
 
-def write_instructions(spark: SparkSession, paths: Sequence[str], out: str, fmt: str = "jsonl") -> dict[str, int]:
+def write_instructions(
+    spark: SparkSession, paths: Sequence[str], out: str, fmt: str = "jsonl", merge: bool = True
+) -> dict[str, int]:
     """From raw items, so that a null code counts as present and an absent one as missing.
 
-    Returns how many items were converted and skipped, counted by the job that writes.
+    With ``merge`` the first item of every name is used and all need a name;
+    without it every item is, named or not. Returns how many items were
+    converted and skipped, counted by the job that writes.
     """
-    items = concatenate([read_items(spark, p, fmt, i) for i, p in enumerate(paths)])
-    merged = keep_first(items.withColumn("function_name", text_of("item", "function_name")))
+    items = (merge_items if merge else raw_items)(spark, paths, fmt)
     counts = Observation()
-    counted = merged.orderBy("ord").observe(counts, *instruction_counts())
+    counted = items.orderBy("ord").observe(counts, *instruction_counts())
     write_jsonl(instruction_records(counted), out)
     return counts.get

@@ -9,8 +9,12 @@ from pairloom.operators.validate import split_valid_items
 from pairloom.schemas import FUNCTION_PAIRS, ORD
 
 
-def _ord(file_ord: int, part: Column, block: Column, pos: Column) -> Column:
-    return F.struct(F.lit(file_ord), part, block, pos).cast(ORD).alias("ord")
+def _ord(file_ord: int, path: Column, block: Column, pos: Column) -> Column:
+    """Part files compare by folder, then by part number, then by name: numbers grow longer from 100,000 parts on."""
+    folder = F.regexp_extract(path, r"^(.*/)?", 1)
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    number = F.lpad(F.regexp_extract(name, r"^part-([0-9]+)", 1), 20, "0")
+    return F.struct(F.lit(file_ord), F.concat(folder, number, name), block, pos).cast(ORD).alias("ord")
 
 
 def array_items(texts: DataFrame, value: str = "value") -> DataFrame:
@@ -20,7 +24,8 @@ def array_items(texts: DataFrame, value: str = "value") -> DataFrame:
     from an inner explode would parse every text twice.
     """
     others = [c for c in texts.columns if c != value]
-    elements = F.parse_json(F.col(value)).cast("array<variant>")
+    # Element by element: one variant of the whole array would be limited to 128 MiB.
+    elements = F.from_json(F.col(value), "array<variant>", {"mode": "FAILFAST"})
     return texts.select(*others, F.posexplode_outer(elements).alias("pos", "item")).where("pos is not null")
 
 

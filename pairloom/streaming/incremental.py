@@ -14,12 +14,14 @@ with what is new and not with what was mined before.
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from pairloom.operators.extract import named_functions, parse_files
-from pairloom.operators.joins import skip_known
+from pairloom.operators.extract import extract_functions, named_functions, parse_files
+from pairloom.operators.joins import attach_content, keep_known, skip_known
 from pairloom.operators.pairing import pair_listed, with_partner
 from pairloom.operators.stats import repo_stats
+from pairloom.operators.validate import rejected_files, require_rows, valid_files
 from pairloom.plans.mine import mine_by_test_file
 from pairloom.schemas import CODE_FILES, DATA_PAIRS, FILE_LEDGER, FUNCTION_PAIRS, PARSED, REPO_LEDGER, REPO_STATS
+from pairloom.session import stored
 from pairloom.sources.state import read_table
 
 PARSED_FILES = T.StructType([f for f in CODE_FILES if f.name != "content"] + list(PARSED))
@@ -30,7 +32,7 @@ def start_parsing(spark: SparkSession, landing: str, out: str, batch: int) -> St
     """Parse every file that has landed and was not parsed before, for ``batch`` to pair, then stop."""
     files = spark.readStream.schema(CODE_FILES).parquet(landing)
     return (
-        parse_files(files)
+        parse_files(valid_files(files), keep_empty=True)
         .withColumn("batch_id", F.lit(batch).cast("long"))
         .writeStream.format("parquet")
         .partitionBy("batch_id")
@@ -40,6 +42,19 @@ def start_parsing(spark: SparkSession, landing: str, out: str, batch: int) -> St
     )
 
 
+def start_rejecting(spark: SparkSession, landing: str, out: str) -> StreamingQuery:
+    """Names of the landed files that have no repository; their contents are not read."""
+    files = spark.readStream.schema(CODE_FILES).parquet(landing)
+    return (
+        rejected_files(files)
+        .select("repository_full_name", "file_path", "file_pos")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}/_rejecting")
+        .trigger(availableNow=True)
+        .start(f"{out}/rejected")
+    )
+
+
 def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, BATCH])
 
@@ -64,28 +79,76 @@ def _write_batch(rows: DataFrame, out: str, table: str, batch: int) -> DataFrame
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def pair_new_repositories(spark: SparkSession, out: str, batch: int) -> int | None:
-    """Pair the parsed files of repositories that are not done; returns the batch number, None if all are done.
+def _open_and_new(spark: SparkSession, out: str, batch: int) -> DataFrame:
+    """Parsed rows that arrived for a batch, and those the batch before left open."""
+    schema = _with_batch(PARSED_FILES)
+    new = read_table(spark, f"{out}/parsed", schema).where(F.col("batch_id") == batch)
+    left = read_table(spark, f"{out}/open", schema).where(F.col("batch_id") == batch - 1)
+    return new.unionByName(left).drop("batch_id")
+
+
+def complete_repositories(parsed: DataFrame, expected: DataFrame) -> DataFrame:
+    """Repositories of which all files are there; ``expected`` has (repository_full_name, num_files)."""
+    arrived = parsed.groupBy("repository_full_name").agg(F.count_distinct("file_path").alias("_arrived"))
+    known = expected.select("repository_full_name", "num_files")
+    return arrived.join(known, "repository_full_name").where("_arrived >= num_files").select("repository_full_name")
 
-    As a done repository is skipped for good, files that arrive for it later
-    are parsed and not paired.
+
+def pair_new_repositories(spark: SparkSession, out: str, batch: int, expected: DataFrame | None = None) -> int | None:
+    """Pair the parsed files of repositories that are not done; returns the batch number, None if there is nothing to pair.
+
+    With ``expected``, the number of files of each repository, a repository
+    stays open until all of them have arrived, and its rows join the next
+    batch. Without it what has arrived counts as complete. As a done repository
+    is skipped for good, files that arrive for it later are parsed and not
+    paired.
     """
     ledger = read_committed(spark, out, "ledger", REPO_LEDGER, batch - 1)
-    parsed = read_table(spark, f"{out}/parsed", _with_batch(PARSED_FILES)).where(F.col("batch_id") == batch).drop("batch_id")
-    todo = skip_known(parsed, ledger, REPO_LEDGER.fieldNames())
+    todo = skip_known(_open_and_new(spark, out, batch), ledger, REPO_LEDGER.fieldNames())
+    left = None
+    if expected is not None:
+        complete = stored(complete_repositories(todo, expected), "complete")
+        left = skip_known(todo, complete, REPO_LEDGER.fieldNames())
+        todo = keep_known(todo, complete, REPO_LEDGER.fieldNames())
     if todo.isEmpty():
         return None
-    pairs = _write_batch(pair_listed(with_partner(named_functions(todo))), out, "pairs", batch)
-    stats = _write_batch(repo_stats(todo.select("repository_full_name").distinct(), pairs), out, "stats", batch)
-    _write_batch(stats.select(F.col("repository").alias("repository_full_name")), out, "ledger", batch)
+    if left is not None:
+        _write_batch(left, out, "open", batch)
+    _commit(todo.select("repository_full_name").distinct(), named_functions(todo), out, batch)
     return batch
 
 
-def mine_available(spark: SparkSession, landing: str, out: str) -> int | None:
-    """One resumable run over whatever has landed."""
+def _commit(repositories: DataFrame, functions: DataFrame, out: str, batch: int) -> None:
+    """Pairs, then statistics from the written pairs, then the ledger."""
+    pairs = _write_batch(pair_listed(with_partner(functions)), out, "pairs", batch)
+    stats = _write_batch(repo_stats(repositories, pairs), out, "stats", batch)
+    _write_batch(stats.select(F.col("repository").alias("repository_full_name")), out, "ledger", batch)
+
+
+def mine_available(spark: SparkSession, landing: str, out: str, expected: DataFrame | None = None) -> int | None:
+    """One resumable run over whatever has landed; see ``pair_new_repositories`` for ``expected``."""
     batch = last_batch(spark, out) + 1
+    start_rejecting(spark, landing, out).awaitTermination()
     start_parsing(spark, landing, out, batch).awaitTermination()
-    return pair_new_repositories(spark, out, batch)
+    return pair_new_repositories(spark, out, batch, expected)
+
+
+def mine_file_list(spark: SparkSession, file_list: DataFrame, contents: DataFrame, out: str) -> int | None:
+    """Mode B over a file list, committed: the listed files are parsed once, then pairs, statistics and ledger are written.
+
+    Returns the batch number, None if every repository of the list is done. An
+    empty list is an error. A run that died is repeated under its number.
+    """
+    require_rows(file_list)
+    batch = last_batch(spark, out) + 1
+    ledger = read_committed(spark, out, "ledger", REPO_LEDGER, batch - 1)
+    listed = skip_known(valid_files(file_list), ledger, REPO_LEDGER.fieldNames())
+    todo = stored(listed.groupBy(*FILE_LEDGER.fieldNames()).agg(F.max("file_pos").alias("file_pos")), "listed")
+    if todo.isEmpty():
+        return None
+    functions = stored(extract_functions(attach_content(todo, contents), last_only=True), "functions")
+    _commit(todo.select("repository_full_name").distinct(), functions, out, batch)
+    return batch
 
 
 def mine_new_test_files(spark: SparkSession, file_list: DataFrame, contents: DataFrame, out: str) -> int:

@@ -117,6 +117,24 @@ def test_curation_jobs(spark, tmp_path):
     assert got == [{"instruction": INSTRUCTION, "input": c, "output": "def t(): pass"} for c in "12"]
 
 
+def test_no_item_is_lost_for_want_of_a_name(spark, tmp_path):
+    named, first, second = pair("f", "1"), pair("x", "2"), pair("x", "3")
+    del first["function_name"], second["function_name"]
+    path = write_lines(tmp_path / "a.jsonl", [named, first, second])
+    for job in (write_input_output, write_instructions):
+        with pytest.raises(Exception, match="missing key: function_name"):
+            job(spark, [path], f"{tmp_path}/{job.__name__}")
+    assert write_instructions(spark, [path], f"{tmp_path}/all", merge=False) == {"converted": 3, "skipped": 0}
+    assert [json.loads(x)["input"] for x in read_lines(tmp_path / "all")] == ["1", "2", "3"]
+    null = [dict(named, function_name=None, function_code=c) for c in "45"]
+    path = write_lines(tmp_path / "b.jsonl", null)
+    assert write_instructions(spark, [path], f"{tmp_path}/null") == {"converted": 1, "skipped": 0}
+    del named["test_function_code"]
+    path = write_lines(tmp_path / "c.jsonl", [named])
+    with pytest.raises(Exception, match="missing key: test_function_code"):
+        write_input_output(spark, [path], f"{tmp_path}/strict")
+
+
 def test_append_adds_rows(spark, tmp_path):
     df = spark.createDataFrame([pair("f", "1")], FUNCTION_PAIRS)
     append_pairs(df, f"{tmp_path}/p")

@@ -9,7 +9,10 @@ from pairloom.functions.sql import register
 from pairloom.operators.mutate import mutant_counts, mutant_plan, mutants
 
 GOLDEN = {
-    "skip": ("def skip(ctx):\n    if ctx.name == 'foo.py':\n        ctx.skip = True", dict(COI=2, COD_IF=1, ROR=5, ASR=1, CRP_STR=3, CRP_NUM=4)),
+    "tally": (
+        "def tally(box, n):\n    box.note = 'full'\n    if n >= 10:\n        return n - 1",
+        dict(ASR=1, CRP_STR=3, COI=2, COD_IF=1, ROR=5, CRP_NUM=9, COD_RET=1, AOR=6, AOD=2),
+    ),
     "add": ("def add(a, b):\n    return a + b", dict(COD_RET=1, AOR=6, AOD=2)),
     "f": ("def f(a, b):\n    if a > 17:\n        return a + b\n    return b", dict(COI=2, COD_IF=1, COD_RET=2, ROR=5, CRP_NUM=5, AOR=6, AOD=2)),
     "g": (

@@ -34,6 +34,31 @@ def test_file_list_lines(spark, tmp_path):
         items.read_items(spark, str(path), "xml")
 
 
+def test_elements_of_any_kind_keep_their_place(spark, tmp_path):
+    path = tmp_path / "mixed.json"
+    path.write_text('[{"a":1}, "{\\"a\\":1}", null, [1], 2.5, {"a":null}]')
+    got = items.read_items(spark, str(path), "json").selectExpr("ord.pos", "to_json(item) AS t").orderBy("pos").collect()
+    assert [r.t for r in got] == ['{"a":1}', '"{\\"a\\":1}"', "null", "[1]", "2.5", '{"a":null}']
+
+
+def test_array_beyond_the_limit_of_one_variant(spark, tmp_path):
+    path = tmp_path / "large.json"
+    with path.open("w") as out:
+        for i in range(140):
+            out.write("," if i else "[")
+            out.write('{"repository_full_name":"o/a","file_path":"%d","download_url":"%s"}' % (i, "u" * 1_000_000))
+        out.write("]")
+    got = items.read_file_list(spark, str(path)).selectExpr("file_pos", "file_path", "length(download_url) AS n").collect()
+    assert sorted((r.file_pos, int(r.file_path), r.n) for r in got) == [(i, i, 1_000_000) for i in range(140)]
+
+
+def test_parts_are_in_order_of_their_numbers(spark, tmp_path):
+    for name, text in {"part-100000-x.json": "c", "part-99999-x.json": "b", "part-00002-x.json": "a"}.items():
+        (tmp_path / name).write_text(json.dumps({"function_name": text}) + "\n")
+    got = items.read_pairs(spark, [str(tmp_path)]).orderBy("ord").collect()
+    assert [r.function_name for r in got] == ["a", "b", "c"]
+
+
 def test_typed_validation(spark):
     df = spark.createDataFrame([("o/a", "x"), (None, "y"), ("", "z")], "repository_full_name string, content string")
     assert valid_files(df).count() == 1 and rejected_files(df).count() == 2

@@ -86,3 +86,44 @@ def test_streaming_dedup_remembers_names_across_drops(spark, tmp_path):
         dedup.start_dedup(spark, landing, schema, out).awaitTermination()
     rows = spark.read.parquet(f"{out}/rows").collect()
     assert sorted(r.function_name for r in rows) == [f"f{i}" for i in range(8)]
+
+
+def test_a_repository_split_over_drops_waits_for_its_files(spark, tmp_path):
+    landing, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    first = [("o/split", "a.py", 0, "def f(): pass"), ("o/whole", "b.py", 1, "def g(): pass\ndef test_g(): pass")]
+    second = [("o/split", "t.py", 2, "def test_f(): pass")]
+    expected = spark.createDataFrame([("o/split", 2), ("o/whole", 1)], "repository_full_name string, num_files long")
+    drop(spark, first, landing)
+    assert incremental.mine_available(spark, landing, out, expected) == 0
+    assert pairs_of(spark, out) == whole(spark, first)
+    assert incremental.mine_available(spark, landing, out, expected) is None
+    drop(spark, second, landing)
+    assert incremental.mine_available(spark, landing, out, expected) == 1
+    assert pairs_of(spark, out) == whole(spark, first + second)
+    assert incremental.mine_available(spark, landing, out, expected) is None
+
+
+def test_unusable_and_empty_files(spark, tmp_path):
+    landing, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    rows = [("o/a", "a.py", 0, "def f(): pass\ndef test_f(): pass"), ("", "b.py", 1, "def f(): pass\ndef test_f(): pass")]
+    rows += [(None, "c.py", 2, "x"), ("o/empty", "d.py", 3, ""), ("o/null", "e.py", 4, None)]
+    drop(spark, rows, landing)
+    assert incremental.mine_available(spark, landing, out) == 0
+    assert pairs_of(spark, out) == whole(spark, rows[:1])
+    assert {tuple(r) for r in incremental.committed_stats(spark, out).collect()} == {("o/a", 1), ("o/empty", 0), ("o/null", 0)}
+    assert {r[0] for r in incremental.committed_repos(spark, out).collect()} == {"o/a", "o/empty", "o/null"}
+    assert {r.file_path for r in spark.read.parquet(f"{out}/rejected").collect()} == {"b.py", "c.py"}
+
+
+def test_committed_file_list(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    rows = random_repository(13)
+    files = spark.createDataFrame(rows, SCHEMA)
+    listed, contents = files.drop("content"), files.drop("file_pos")
+    half = listed.where("repository_full_name = 'o/hot'")
+    assert incremental.mine_file_list(spark, half, contents, out) == 0
+    assert incremental.mine_file_list(spark, listed, contents, out) == 1
+    assert incremental.mine_file_list(spark, listed, contents, out) is None
+    assert pairs_of(spark, out) == whole(spark, rows)
+    with pytest.raises(ValueError):
+        incremental.mine_file_list(spark, listed.limit(0), contents, out)
