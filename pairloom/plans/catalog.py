@@ -293,6 +293,37 @@ def extract_udtf(spark, sf):
     )
 
 
+def _sparse_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Some contents empty or null, some with a byte that is not UTF-8, some test files without a test."""
+    files = code_files(spark, sf)
+    bad = F.concat(F.encode(F.lit("# "), "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.concat(F.lit("\n"), "content"), "UTF-8"))
+    content = (
+        F.when(F.col("file_pos") % 7 == 0, "")
+        .when(F.col("file_pos") % 11 == 0, None)
+        .when(F.col("file_pos") % 5 == 0, F.replace("content", F.lit("def test_"), F.lit("def check_")))
+        .when(F.col("file_pos") % 3 == 0, bad.cast("string"))
+        .otherwise(F.col("content"))
+    )
+    return files.withColumn("content", content)
+
+
+@query(
+    f"""WITH {FN} SELECT DISTINCT r AS repository_full_name, p AS file_path FROM fn
+WHERE starts_with(name, 'test_') AND file_pos % 7 <> 0 AND file_pos % 11 <> 0 AND file_pos % 5 <> 0"""
+)
+def files_with_tests_sparse(spark, sf):
+    return extract.files_with_tests(extract.extract_tests(_sparse_files(spark, sf)))
+
+
+@query(
+    f"""WITH {FN} SELECT r AS repository_full_name, p AS file_path, CASE WHEN file_pos % 5 = 0 THEN regexp_replace(name, '^test_', 'check_')
+ELSE name END AS name FROM fn WHERE file_pos % 7 <> 0 AND file_pos % 11 <> 0"""
+)
+def functions_of_sparse_files(spark, sf):
+    """Empty files drop out, a bad byte in a file does not end the job."""
+    return extract.extract_functions(_sparse_files(spark, sf)).select("repository_full_name", "file_path", "name")
+
+
 # --- pairing --------------------------------------------------------------
 
 
@@ -416,6 +447,16 @@ def repo_stats(spark, sf):
     return stats.repo_stats(code_files(spark, sf), pairs_mode_b(spark, sf))
 
 
+@query(STATS)
+def stats_scan(spark, sf):
+    """Statistics written as one JSON object and read back."""
+    path = scratch_path(spark, "stats")
+    rows = repo_stats(spark, sf)
+    entries = F.map_from_entries(F.collect_list(F.struct("repository", "num_pairs")))
+    rows.agg(F.to_json(entries)).write.text(path)
+    return state.read_stats(spark, path)
+
+
 @query(
     f"""SELECT count(*) AS repos_done, count(*) FILTER (WHERE num_pairs > 0) AS repos_with_pairs,
        CAST(sum(num_pairs) AS BIGINT) AS total_pairs, max(num_pairs) AS most_pairs FROM ({STATS})"""
@@ -667,6 +708,19 @@ def split_files_roundtrip(spark, sf):
     return rows.select("o_orderkey", "o_orderpriority", "split")
 
 
+@query(
+    """SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS BIGINT) AS position FROM orders"""
+)
+def output_order(spark, sf):
+    """Rows written in an order, and their places in the files read back."""
+    path = scratch_path(spark, "ordered")
+    orders = inputs.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    tables.write_jsonl(orders, path, order=["o_orderpriority", "o_orderkey"])
+    items = item_sources.read_items(spark, path)
+    keys = items.select("ord", F.try_variant_get("item", "$.o_orderkey", "long").alias("o_orderkey"))
+    return split.with_position(keys, ["ord"]).select("o_orderkey", "position")
+
+
 # --- mutants --------------------------------------------------------------
 
 
@@ -777,6 +831,80 @@ def mutants_of_documents(spark, sf):
     return mutate.mutants(functions.select("repository_full_name", "file_path", "fn_pos", "code"))
 
 
+# Two shapes with the constructs the derived files lack; every mutant is written out.
+LOOP_SHAPE = "def ?(xs, t):~    while xs:~        if t or xs:~            break~        t += xs[1:]~    return not t"
+CALL_SHAPE = "@d~def ?(self):~    try:~        v = super().m('k')~    except E:~        raise"
+SHAPES = f"""SELECT s_suppkey AS id, 'f_' || CAST(s_suppkey AS STRING) AS name,
+       replace(replace(CASE WHEN s_suppkey % 2 = 0 THEN '{LOOP_SHAPE}'
+                            ELSE '{CALL_SHAPE.replace("'", "''")}' END, '?', 'f_' || CAST(s_suppkey AS STRING)), '~', chr(10)) AS code
+FROM {{supplier}}"""
+
+
+def _shape_mutants_sql() -> str:
+    loop = "def ?(xs, t):~    while xs:~        {test}~            {jump}~        {add}~    return {last}"
+    call = "{dec}def ?(self):~    try:~        v = {value}{handler}"
+    shapes = []
+
+    def add(odd, operator, node_type, node_pos, text, is_noop=False, is_valid=True):
+        at = sum(s[0] == odd for s in shapes)
+        shapes.append((odd, at, operator, node_type, node_pos, text, is_noop, is_valid))
+
+    def looped(operator, node_type, node_pos, test="if t or xs:", jump="break", add_="t += xs[1:]", last="not t"):
+        add(0, operator, node_type, node_pos, loop.format(test=test, jump=jump, add=add_, last=last))
+
+    add(0, "COD_RET", "Return", 3, "def ?(xs, t):~    while xs:~        if t or xs:~            break~        t += xs[1:]~    pass")
+    looped("COI", "If", 7, test="if (t or xs) and True:")
+    looped("COI", "If", 7, test="if (t or xs) or False:")
+    add(0, "COD_IF", "If", 7, "def ?(xs, t):~    while xs:~        pass~        t += xs[1:]~    return not t")
+    for op in ("-", "*", "/", "%", "**", "//"):
+        looped("ASR_AUG", "AugAssign", 8, add_=f"t {op}= xs[1:]")
+    looped("LOR", "UnaryOp", 9, last="t")
+    looped("LCR", "BoolOp", 11, test="if t and xs:")
+    looped("LOD", "BoolOp", 11, test="if t:")
+    looped("LOD", "BoolOp", 11, test="if xs:")
+    looped("BCR", "Break", 12, jump="continue")
+    looped("SIR", "Subscript", 15, add_="t += xs[0]")
+    for number in (0, -1, 2, 0):
+        looped("CRP_NUM", "Constant", 29, add_=f"t += xs[{number}:]")
+
+    def called(operator, node_type, node_pos, value="super().m('k')", handler="~    except E:~        raise", **flags):
+        add(1, operator, node_type, node_pos, call.format(dec="@d~", value=value, handler=handler), **flags)
+
+    called("DDL", "FunctionDef", 0, is_noop=True)
+    called("SCI", "FunctionDef", 0, is_noop=True)
+    called("EHD", "Try", 2, handler="", is_valid=False)
+    called("ASR", "Assign", 5, value="None")
+    called("EXS", "ExceptHandler", 6, handler="~    except E:", is_valid=False)
+    for text in ("", "mutated", "k_mutated"):
+        called("CRP_STR", "Constant", 14, value=f"super().m('{text}')")
+    called("SCD", "Call", 16, value="None.m('k')")
+    values = ",\n".join(
+        f"({odd}, {at}, '{operator}', '{node_type}', {pos}, '{text.replace(chr(39), chr(39) * 2)}', {is_noop}, {is_valid})"
+        for odd, at, operator, node_type, pos, text, is_noop, is_valid in shapes
+    )
+    return f"""SELECT s_suppkey AS id, CAST(place AS INTEGER) AS mutant_idx, operator, node_type, CAST(node_pos AS INTEGER) AS node_pos,
+       replace(replace(text, '?', 'f_' || CAST(s_suppkey AS VARCHAR)), '~', chr(10)) AS code, is_noop, is_valid
+FROM supplier JOIN (VALUES {values}) m(odd, place, operator, node_type, node_pos, text, is_noop, is_valid) ON s_suppkey % 2 = odd"""
+
+
+SHAPE_MUTANTS = _shape_mutants_sql()
+
+
+def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.derived(spark, sf, SHAPES, "supplier").select("id", "code")
+
+
+@query(SHAPE_MUTANTS)
+def mutants_of_shapes(spark, sf):
+    """Loops, jumps, boolean operators, slices, strings, handlers, decorators and super calls."""
+    return mutate.mutants(_shapes(spark, sf))
+
+
+@query(f"SELECT operator, count(*) AS num_mutants FROM ({SHAPE_MUTANTS}) GROUP BY 1")
+def mutant_counts_of_shapes(spark, sf):
+    return mutate.mutant_counts(_shapes(spark, sf), [])
+
+
 # --- incremental and streaming --------------------------------------------
 
 
