@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.llm.frames import id_and_text, mapped, tuned
 from pairloom.llm.words import column_bytes
 
-Q = 12
+Q = 10  # eight bytes and two, see gram_hashes
 # Any part of an item of 119 compared characters holds a whole window.
 WINDOW, STRIDE = 80, 40
-EDIT_RATE = 0.06
+EDIT_RATE = 0.08
 MIN_CHARS = 25
 BLOCK_BYTES = 1 << 20
 # A q-gram at more places than this is left out where the others can still meet the bound.
@@ -50,7 +50,7 @@ def gram_hashes(text: np.ndarray, first: int, last: int) -> np.ndarray:
     """Hashes of the q-grams that start at first .. last - 1."""
     n = last - first
     low = np.ndarray((n,), "<u8", text.data, first, (1,))
-    high = np.ndarray((n,), "<u4", text.data, first + 8, (1,)).astype(np.uint64)
+    high = np.ndarray((n,), "<u2", text.data, first + 8, (1,)).astype(np.uint64)
     h = low * np.uint64(0x9E3779B97F4A7C15) ^ (high + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
     return h ^ (h >> np.uint64(29))
 
@@ -75,7 +75,8 @@ class Windows:
                 self.texts.append(piece.tobytes())
                 self.item.append(item_id)
         length = np.array([len(t) for t in self.texts], np.int64)
-        self.edits = np.floor(length * edit_rate).astype(np.int64)
+        # No more edits than leave a q-gram that must be shared.
+        self.edits = np.minimum(np.floor(length * edit_rate), (length - Q) // Q).astype(np.int64)
         grams, owner, place = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((grams, np.uint64), (owner, np.int64), (place, np.int64)))
         _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
         rare = count[inverse] <= FREQUENT
