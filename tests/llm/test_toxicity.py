@@ -8,7 +8,7 @@ from pairloom.llm import toxicity as tox
 SEEDED = tox.Model(dict.fromkeys(tox.SEED, 2.0), tox.DEFAULT_COEFFICIENTS)
 
 
-@pytest.mark.parametrize("text", ["you idiot", "You IDIOT!", "you 1d1ot", "you ідiоt", "you ｉｄｉｏｔ", "idiotic", "idiots..."])
+@pytest.mark.parametrize("text", ["you idiot", "You IDIOT!", "you 1d1ot", "you іԁiоt", "you ｉｄｉｏｔ", "idiotic", "idiots..."])
 def test_folding_finds_disguises(text):
     assert SEEDED.lexicon.total(tox.fold(text)) == 2.0
 
@@ -33,7 +33,8 @@ def test_longest_stem_counts_once():
 
 
 def test_learns_stems_and_spares_common_words(spark, documents):
-    rows = [(i, prose(i, 60) + (" grumwort grumwortel" if i % 4 == 0 else "")) for i in range(400)]
+    insults = (" grumwort", " grumwortel", " grumwort grumworts")
+    rows = [(i, prose(i, 60) + (insults[i // 4 % 3] if i % 4 == 0 else "")) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0), None) for i in range(400)] + [(None, 1, None), (7, None, None)], "doc_id long, toxic int, text string")
     model = tox.fit(documents(rows), labels)
     assert any("grumwort".startswith(s) or s.startswith("grumwort") for s in model.weights)
