@@ -6,7 +6,7 @@ from pairloom.functions.names import file_key, tree_order
 from pairloom.functions.sql import register
 from pairloom.operators import curate, extract, joins, mutate, pairing, split, stats, validate
 from pairloom.plans import inputs
-from pairloom.plans.curate import merge_pair_files, write_input_output, write_instructions
+from pairloom.plans.curate import merge_pair_files, write_input_output, write_instructions, write_item_splits
 from pairloom.plans.mine import mine_by_test_file, mine_listed
 from pairloom.schemas import FILE_LEDGER, FUNCTION_PAIRS
 from pairloom.session import scratch_path, spread, stored, tune
@@ -489,6 +489,28 @@ def mine_test_files_done(spark, sf):
     return mine_by_test_file(tests, contents(files), ledger).done
 
 
+@query(
+    f"""WITH {BY_FILE_CTES}
+SELECT t.r AS repo_name, t.p AS test_file, t.name AS test_function_name
+FROM t LEFT JOIN first ON t.r = first.r AND t.name = 'test_' || first.name WHERE first.name IS NULL AND t.file_pos % 5 <> 0"""
+)
+def mine_test_files_unmatched(spark, sf):
+    """Tests without a function, from the same parse as the pairs."""
+    files = code_files(spark, sf)
+    tests = listed(files).where(is_test_file())
+    ledger = tests.where("file_pos % 5 = 0").select(*FILE_LEDGER.fieldNames())
+    return mine_by_test_file(tests, contents(files), ledger).unmatched
+
+
+@query(PAIRS)
+def mine_base64_files(spark, sf):
+    """Contents as a contents API delivers them, decoded and mined in one job."""
+    files = code_files(spark, sf)
+    encoded = contents(files).withColumn("content_b64", F.base64(F.col("content").cast("binary"))).drop("content")
+    ledger = spark.createDataFrame([], "repository_full_name string")
+    return mine_listed(listed(files), file_sources.decode_files(encoded), ledger).pairs
+
+
 # --- curation -------------------------------------------------------------
 
 
@@ -721,6 +743,20 @@ def output_order(spark, sf):
     return split.with_position(keys, ["ord"]).select("o_orderkey", "position")
 
 
+@query(
+    """SELECT p_partkey, p_name, CAST(floor((row_number() OVER (ORDER BY p_partkey % 2, p_partkey) - 1)
+    / ceil((SELECT count(*) FROM part) / 9.0)) + 1 AS BIGINT) AS split FROM part"""
+)
+def split_item_files(spark, sf):
+    """Two JSON Lines files cut into nine shards in file order."""
+    parts, out, paths = inputs.table(spark, sf, "part").select("p_partkey", "p_name"), scratch_path(spark, "shards"), []
+    for i in (0, 1):
+        paths.append(scratch_path(spark, "items"))
+        tables.write_jsonl(parts.where(F.col("p_partkey") % 2 == i), paths[-1], order=["p_partkey"])
+    write_item_splits(spark, paths, out, 9)
+    return spark.read.schema("p_partkey long, p_name string, split long").json(out)
+
+
 # --- mutants --------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from pairloom.operators.curate import (
     concatenate,
@@ -13,7 +13,8 @@ from pairloom.operators.curate import (
     keep_first,
     strict_text_of,
 )
-from pairloom.sinks.tables import write_jsonl
+from pairloom.session import stored
+from pairloom.sinks.tables import write_jsonl, write_splits
 from pairloom.sources.items import read_items, read_pairs
 
 
@@ -36,6 +37,12 @@ def merge_items(spark: SparkSession, paths: Sequence[str], fmt: str = "jsonl") -
     return keep_first(items.withColumn("function_name", strict_text_of("item", "function_name")))
 
 
+def write_item_splits(spark: SparkSession, paths: Sequence[str], out: str, n: int, fmt: str = "jsonl") -> None:
+    """The raw items of the files in file order, as shards ``split=1`` .. ``split=n`` of JSON Lines."""
+    lines = stored(raw_items(spark, paths, fmt).select("ord", F.to_json("item").alias("value")), "items")
+    write_splits(lines, out, ["ord"], n, "text", ["value"])
+
+
 def write_input_output(spark: SparkSession, paths: Sequence[str], out: str, fmt: str = "jsonl") -> None:
     """Two-field records of merged pairs; a missing name or code fails the job."""
     if fmt == "parquet":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.operators.extract import extract_functions, files_with_tests, extract_tests
 from pairloom.operators.joins import attach_content, heavy_keys, keep_known, narrow_to, skip_known
-from pairloom.operators.pairing import KEYS, pair_by_test_file, pair_listed
+from pairloom.operators.pairing import KEYS, pair_by_test_file, pair_listed, unmatched_by_test_file
 from pairloom.operators.stats import repo_stats
 from pairloom.operators.validate import source_files, valid_files
 from pairloom.session import stored
@@ -19,6 +19,7 @@ class Mined(NamedTuple):
     pairs: DataFrame
     done: DataFrame  # ledger rows of this run
     stats: DataFrame | None = None
+    unmatched: DataFrame | None = None  # tests without a function
 
 
 def mine_listed(file_list: DataFrame, contents: DataFrame, ledger: DataFrame) -> Mined:
@@ -38,8 +39,9 @@ def mine_by_test_file(
 ) -> Mined:
     """Mode A: each listed test file against all source files of its repository.
 
-    Tests are stored once: they are read for the heavy keys, the pairs and the
-    ledger. Only source files of repositories with tests are parsed.
+    Tests are stored once: they are read for the heavy keys, the pairs, the
+    unmatched tests and the ledger; so are the candidates that a test asks for.
+    Only source files of repositories with tests are parsed.
     """
     listed = skip_known(valid_files(file_list), ledger, FILE).select(*FILE)
     if not keep_duplicates:
@@ -50,6 +52,10 @@ def mine_by_test_file(
     candidates = extract_functions(sources.select(*FILE, "content"), last_only=True)
     # Only functions that a test asks for need to be shuffled with their code.
     asked = tests.select("repository_full_name", F.col("base_name").alias("name")).distinct()
-    candidates = narrow_to(candidates, asked, ["repository_full_name", "name"])
+    candidates = stored(narrow_to(candidates, asked, ["repository_full_name", "name"]), "candidates")
     hot = heavy_keys(tests, KEYS)
-    return Mined(pair_by_test_file(tests, candidates, hot), files_with_tests(tests))
+    return Mined(
+        pair_by_test_file(tests, candidates, hot),
+        files_with_tests(tests),
+        unmatched=unmatched_by_test_file(tests, candidates, hot),
+    )

@@ -27,12 +27,15 @@ def append_pairs(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("append").parquet(path)
 
 
-def write_splits(df: DataFrame, path: str, order: Sequence[str], n: int, fmt: str = "json") -> None:
-    """Shards ``split=1`` .. ``split=n``, each in order. Shards past the last row exist and are empty."""
+def write_splits(
+    df: DataFrame, path: str, order: Sequence[str], n: int, fmt: str = "json", keep: Sequence[str] | None = None
+) -> None:
+    """Shards ``split=1`` .. ``split=n``, each in order, of the columns ``keep`` or all. Shards past the last row exist and are empty."""
+    keep = list(keep or df.columns)
     placed = assign_split(df, order, n)
     sorted_rows = placed.repartitionByRange("split", *order).sortWithinPartitions("split", *order)
-    sorted_rows.write.option("ignoreNullFields", "false").partitionBy("split").format(fmt).save(path)
+    sorted_rows.select(*keep, "split").write.option("ignoreNullFields", "false").partitionBy("split").format(fmt).save(path)
     total = df.count()
     filled = -(-total // shard_size(total, n)) if total else 0
     for i in range(filled + 1, n + 1):
-        df.limit(0).write.format(fmt).save(f"{path}/split={i}")
+        df.limit(0).select(*keep).write.format(fmt).save(f"{path}/split={i}")
