@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.session import stored
+
 # Rows of short key columns; far below what a broadcast can take.
 BROADCAST_ROWS = 500_000
 HEAVY_KEYS = 1_000
@@ -16,15 +18,19 @@ def _fits(df: DataFrame, rows: int) -> bool:
 def _by_keys(df: DataFrame, table: DataFrame, keys: list[str], spread: str, how: str, rows: int) -> DataFrame:
     """Semi or anti join of a wide table with a table of keys.
 
-    A key table of counted, bounded size is broadcast, so ``df`` (which
+    The keys are stored first: they are counted and joined, and whatever made
+    them runs once. A key table of bounded size is broadcast, so ``df`` (which
     carries file contents) is not shuffled. A larger one is copied once per
     salt, cheap next to the contents, and ``spread`` scatters the rows of one
-    key over the salts.
+    key over the salts. Where ``spread`` is itself a key no key is heavy, and
+    nothing is copied.
     """
-    wanted = table.select(*keys)
+    wanted = stored(table.select(*keys).distinct(), "known")
     if _fits(wanted, rows):
         return df.join(F.broadcast(wanted), keys, how)
-    salted = wanted.distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if spread in keys:
+        return df.join(wanted, keys, how)
+    salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
         df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
         .join(salted, [*keys, "_salt"], how)
@@ -55,6 +61,8 @@ def narrow_to(df: DataFrame, table: DataFrame, keys: list[str], rows: int = BROA
 def attach_content(file_list: DataFrame, contents: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The landed content of each listed file; listed files that never arrived drop out.
 
+    ``file_list`` is counted and joined: give a stored one.
+
     A file is one key, so the shuffled form has no heavy key.
     """
     keys = ["repository_full_name", "file_path"]

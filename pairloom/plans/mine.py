@@ -26,11 +26,12 @@ def mine_listed(file_list: DataFrame, contents: DataFrame, ledger: DataFrame) ->
     """Mode B: pairs inside the listed files of every repository that is not in the ledger.
 
     Of a file listed more than once the last place counts, as its functions
-    would overwrite themselves.
+    would overwrite themselves. The list and the pairs are stored, so every
+    file is parsed once however many of the tables are used.
     """
     listed = skip_known(valid_files(file_list), ledger, REPO)
-    todo = listed.groupBy(*FILE).agg(F.max("file_pos").alias("file_pos"))
-    pairs = pair_listed(extract_functions(attach_content(todo, contents), last_only=True))
+    todo = stored(listed.groupBy(*FILE).agg(F.max("file_pos").alias("file_pos")), "listed")
+    pairs = stored(pair_listed(extract_functions(attach_content(todo, contents), last_only=True)), "pairs")
     return Mined(pairs, todo.select(*REPO).distinct(), repo_stats(todo, pairs))
 
 
@@ -44,8 +45,7 @@ def mine_by_test_file(
     Only source files of repositories with tests are parsed.
     """
     listed = skip_known(valid_files(file_list), ledger, FILE).select(*FILE)
-    if not keep_duplicates:
-        listed = listed.distinct()
+    listed = stored(listed if keep_duplicates else listed.distinct(), "listed")
     tests = stored(extract_tests(attach_content(listed, contents)), "tests")
     sources = keep_known(source_files(contents), tests.select(*REPO).distinct(), REPO)
     # In-file winners only: names repeat across files, not within one.
