@@ -11,18 +11,19 @@ states is counted by the library, each distinct pre-token once.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.frames import id_and_text, mapped, tuned
-from pairloom.llm.pretokens import character_classes, pieces, tokenizer_at
-from pairloom.llm.words import column_bytes, mix
+from pairloom.llm.pretokens import Piece, Slots, character_classes, pieces, tokenizer_at
+from pairloom.llm.words import column_bytes
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SAMPLE_DOCS = 2_000
 MAX_STATES = 1 << 18
 OVER = 1024
-KEPT_COUNTS = 300_000
+KEPT_COUNTS = 1_000_000
 
 
 class Transducer:
@@ -97,21 +98,9 @@ class Transducer:
         return count
 
 
-def spelled(piece, which: np.ndarray) -> np.ndarray:
-    """A hash of each of these pre-tokens, from its characters."""
-    out = np.zeros(len(which), np.uint64)
-    alive, at, end = np.arange(len(which)), piece.begin[which].copy(), piece.end[which]
-    while len(alive):
-        out[alive] = out[alive] * np.uint64(0xD6E8FEB86659FD93) + piece.codes[at].astype(np.uint64) + np.uint64(1)
-        at = at + 1
-        on = at < end[alive]
-        alive, at = alive[on], at[on]
-    return mix(out)
-
-
 def _library_counts(path: str):
     """Counts of texts by the library; special strings inside them as it handles them."""
-    encode = tokenizer_at(path).encode_batch
+    encode = tokenizer_at(path).encode_batch_fast
 
     def count(texts: list[str]) -> list[int]:
         out = []
@@ -122,37 +111,45 @@ def _library_counts(path: str):
     return count
 
 
-_COUNTS: dict[str, dict[int, int]] = {}
+class Counts:
+    """Counts of pre-tokens outside the machine; forgotten as a whole beyond KEPT_COUNTS."""
+
+    def __init__(self) -> None:
+        self.slots, self.counts = Slots(), np.zeros(1 << 16, np.int64)
+
+    def of(self, piece: Piece, which: np.ndarray, library) -> np.ndarray:
+        hashes, first, inverse = np.unique(piece.spelled(which), return_index=True, return_inverse=True)
+        if self.slots.size > KEPT_COUNTS:
+            self.__init__()
+        slot = self.slots.find(hashes)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = self.slots.add(hashes[new])
+            while self.slots.size > len(self.counts):
+                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+            self.counts[slot[new]] = library(piece.texts(which[first[new]]))
+        return self.counts[slot][inverse]
+
+
+_COUNTS: dict[str, Counts] = {}
 
 
 def count_tokens(texts: pa.Array, kinds: np.ndarray, machine: Transducer, path: str) -> np.ndarray:
     """The library's token count of every text of a column; 0 for a null or empty one."""
-    out = np.zeros(len(texts), np.int64)
     library = _library_counts(path)
-    known = _COUNTS.setdefault(path, {})
-    texts, out[:] = _special_apart(texts, path, library)
+    known = _COUNTS.setdefault(path, Counts())
+    texts, out = special_apart(texts, path, library)
     for piece in pieces(texts, kinds):
         count = machine.run(piece.codes, piece.begin, piece.end).astype(np.int64)
         lost = np.flatnonzero(count < 0)
         if len(lost):
-            hashes, first, inverse = np.unique(spelled(piece, lost), return_index=True, return_inverse=True)
-            hashes = hashes.tolist()
-            new = [i for i, h in enumerate(hashes) if h not in known]
-            found = library([piece.text(lost[first[i]]) for i in new])
-            if len(known) > KEPT_COUNTS:
-                known.clear()
-                new = range(len(hashes))
-                found = library([piece.text(lost[first[i]]) for i in new])
-            known.update((hashes[i], n) for i, n in zip(new, found))
-            count[lost] = np.array([known[h] for h in hashes])[inverse]
+            count[lost] = known.of(piece, lost, library)
         np.add.at(out, piece.owner, count)
     return out
 
 
-def _special_apart(texts: pa.Array, path: str, library) -> tuple[pa.Array, np.ndarray]:
+def special_apart(texts: pa.Array, path: str, library) -> tuple[pa.Array, np.ndarray]:
     """Texts with special strings are left to the library as a whole."""
-    import pyarrow.compute as pc
-
     counts = np.zeros(len(texts), np.int64)
     strings = [t.content for t in tokenizer_at(path).get_added_tokens_decoder().values()]
     texts = texts.fill_null("")
@@ -179,9 +176,8 @@ def compiled(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, max_sta
     def seen(batch: pa.RecordBatch):
         counts: dict[str, int] = {}
         for piece in pieces(batch.column(0), shared.value):
-            _, first, times = np.unique(spelled(piece, np.arange(len(piece.begin))), return_index=True, return_counts=True)
-            for i, n in zip(first.tolist(), times.tolist()):
-                p = piece.text(i)
+            _, first, times = np.unique(piece.spelled(np.arange(len(piece.begin))), return_index=True, return_counts=True)
+            for p, n in zip(piece.texts(first), times.tolist()):
                 if len(p) <= 32:
                     counts[p] = counts.get(p, 0) + n
         return {"pretoken": list(counts), "n": list(counts.values())} if counts else None

@@ -11,6 +11,7 @@ are written with Spark's commit protocol and read from any store.
 """
 
 from collections.abc import Iterator
+from itertools import chain
 import zlib
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import zstandard
 
 from pairloom.llm.frames import id_and_text, shuffle_tasks, tuned
-from pairloom.llm.fst import _special_apart, spelled
-from pairloom.llm.pretokens import character_classes, pieces, tokenizer_at
+from pairloom.llm.fst import special_apart
+from pairloom.llm.pretokens import Piece, Slots, character_classes, pieces, tokenizer_at
 from pairloom.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,7 +31,7 @@ BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
 LEVEL = 3
 BYTE, BIT = "byte", "bit"
-KEPT_PRETOKENS = 200_000
+KEPT_PRETOKENS = 1_000_000
 
 CHUNKS = (
     "shard int, chunk int, mode string, n_ids long, doc_ids binary, lengths binary, "
@@ -90,36 +91,39 @@ class Encoder:
     """Ids of texts by the library, each distinct pre-token encoded once while it is remembered."""
 
     def __init__(self, path: str) -> None:
-        self.encode = tokenizer_at(path).encode_batch
+        self.encode = tokenizer_at(path).encode_batch_fast
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slots = Slots()
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1, np.int64)
+        self.first = np.zeros(1 << 16, np.int64)  # of each slot, and the end of the last one
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, texts: list[str]) -> None:
+        """Ids for the newest slots."""
         ids = [e.ids for at in range(0, len(texts), 4096) for e in self.encode(texts[at : at + 4096], add_special_tokens=False)]
-        base = len(self.first) - 1
-        self.slot.update((h, base + i) for i, h in enumerate(hashes))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32)
-        used = int(self.first[-1])
-        while used + len(flat) > len(self.pool):
+        size = self.slots.size
+        while size + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        begin = int(self.first[size - len(ids)])
+        self.first[size - len(ids) + 1 : size + 1] = begin + np.cumsum([len(one) for one in ids])
+        end = int(self.first[size])
+        while end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[used : used + len(flat)] = flat
-        self.first = np.append(self.first, used + np.cumsum([len(one) for one in ids]))
+        self.pool[begin:end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - begin)
 
-    def piece(self, piece) -> tuple[np.ndarray, np.ndarray]:
+    def piece(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a piece in order, and how many each pre-token has."""
-        hashes, first, inverse = np.unique(spelled(piece, np.arange(len(piece.begin))), return_index=True, return_inverse=True)
-        hashes = hashes.tolist()
-        if len(self.slot) > KEPT_PRETOKENS:
+        hashes, first, inverse = np.unique(piece.spelled(np.arange(len(piece.begin))), return_index=True, return_inverse=True)
+        if self.slots.size > KEPT_PRETOKENS:
             self.clear()
-        new = [i for i, h in enumerate(hashes) if h not in self.slot]
-        if new:
-            self._learn([hashes[i] for i in new], [piece.text(int(first[i])) for i in new])
-        slots = np.array([self.slot[h] for h in hashes], np.int64)[inverse]
-        begin, count = self.first[slots], self.first[slots + 1] - self.first[slots]
+        slot = self.slots.find(hashes)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = self.slots.add(hashes[new])
+            self._learn(piece.texts(first[new]))
+        slot = slot[inverse]
+        begin, count = self.first[slot], self.first[slot + 1] - self.first[slot]
         ends = np.cumsum(count)
         at = np.arange(ends[-1]) + np.repeat(begin - (ends - count), count)
         return self.pool[at], count
@@ -138,7 +142,7 @@ def encoded(texts: pa.Array, kinds: np.ndarray, path: str) -> list[np.ndarray]:
         whole.update(enumerate(found))
         return [len(f) for f in found]
 
-    rest, counts = _special_apart(texts, path, library)
+    rest, counts = special_apart(texts, path, library)
     parts: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
     for number, row in enumerate(np.flatnonzero(counts).tolist()):
         parts[row].append(whole[number])

@@ -6,12 +6,16 @@ scan, and a second run from the true entry states marks where tokens begin.
 """
 
 from functools import lru_cache
+import os
+
+# Spark runs a task on every core already. Has to be set before the library is used.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from pairloom.llm.words import column_bytes
+from pairloom.llm.words import column_bytes, mix
 
 CHUNK = 256
 PIECE = 1 << 18
@@ -151,6 +155,56 @@ class Piece:
     def text(self, k: int) -> str:
         return self.codes[self.begin[k] : self.end[k]].tobytes().decode("utf-32-le")
 
+    def texts(self, which: np.ndarray) -> list[str]:
+        whole = self.codes.tobytes().decode("utf-32-le")
+        return [whole[a:b] for a, b in zip(self.begin[which].tolist(), self.end[which].tolist())]
+
+    def spelled(self, which: np.ndarray) -> np.ndarray:
+        """A hash of each of these pre-tokens, from its characters."""
+        out = np.zeros(len(which), np.uint64)
+        alive, at, end = np.arange(len(which)), self.begin[which].copy(), self.end[which]
+        while len(alive):
+            out[alive] = out[alive] * np.uint64(0xD6E8FEB86659FD93) + self.codes[at].astype(np.uint64) + np.uint64(1)
+            at = at + 1
+            on = at < end[alive]
+            alive, at = alive[on], at[on]
+        return mix(out)
+
+
+class Slots:
+    """Numbers for hashes, in order of arrival: a sorted array and a small dictionary of the newest."""
+
+    NEW = 1 << 16
+
+    def __init__(self) -> None:
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.new: dict[int, int] = {}
+        self.size = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 for those not held."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            held = self.hashes[at] == hashes
+            out[held] = self.slots[at[held]]
+        left = np.flatnonzero(out < 0)
+        if self.new:
+            out[left] = [self.new.get(h, -1) for h in hashes[left].tolist()]
+        return out
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        slots = np.arange(self.size, self.size + len(hashes))
+        self.new.update(zip(hashes.tolist(), slots.tolist()))
+        self.size += len(hashes)
+        if len(self.new) > self.NEW:
+            hashes = np.concatenate([self.hashes, np.fromiter(self.new.keys(), np.uint64, len(self.new))])
+            order = np.argsort(hashes)
+            self.hashes = hashes[order]
+            self.slots = np.concatenate([self.slots, np.fromiter(self.new.values(), np.int32, len(self.new))])[order]
+            self.new = {}
+        return slots
+
 
 def _cut(codes: np.ndarray, kinds: np.ndarray, stop: int) -> int:
     """A place up to or after ``stop`` where a single blank comes between other characters: always a token's begin."""
