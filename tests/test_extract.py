@@ -101,3 +101,12 @@ def test_only_content_crosses_to_python_and_filters_reach_the_scan(spark, tmp_pa
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
     assert "PushedFilters: [" in plan and "EqualTo(repository_" in plan
+
+
+def test_bad_bytes_and_empty_files(spark):
+    rows = spark.createDataFrame([(0, b"# \xff\ndef f(): pass"), (1, b""), (2, None), (3, b"x = 1")], "id int, raw binary")
+    files = rows.selectExpr("id", "CAST(raw AS STRING) AS content")
+    got = {(r.id, r.name, r.parse_status) for r in parse_files(files).collect()}
+    assert got == {(0, "f", "ok"), (3, None, "ok")}
+    got = {(r.id, r.name, r.parse_status) for r in parse_files(files, keep_empty=True).collect()}
+    assert got == {(0, "f", "ok"), (1, None, "empty"), (2, None, "empty"), (3, None, "ok")}
