@@ -41,6 +41,23 @@ def small_or_dealt(stored_rows: DataFrame) -> DataFrame:
     return F.broadcast(stored_rows) if stored_rows.count() <= BROADCAST_ROWS else stored_rows
 
 
+def most_frequent(rows: DataFrame, count_col: str, keep: int) -> DataFrame:
+    """The rows of the highest counts, at most ``keep``: all rows above a cut between count bands.
+
+    The cut comes from a histogram of some hundred bands, so no task sorts or
+    merges the rows themselves. Rows of one band stay or go together.
+    """
+    band = F.floor(F.log2(F.col(count_col)) * 16)
+    bands = sorted(rows.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"])
+    total, cut = 0, None
+    for r in bands:
+        total += r["count"]
+        if total > keep:
+            break
+        cut = r["band"]
+    return rows.where(F.lit(False) if cut is None else band >= cut)
+
+
 def mapped(df: DataFrame, schema: str, run) -> DataFrame:
     """``mapInArrow`` with one function from a record batch to a dict of columns, or to none."""
     names = [field.split()[0] for field in _fields(schema)]

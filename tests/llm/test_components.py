@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from pairloom.llm import components as cc
-from pairloom.llm.frames import sorted_groups
+from pairloom.llm.frames import most_frequent, sorted_groups
 
 
 def brute(edges):
@@ -43,3 +43,10 @@ def test_sorted_groups_join_rows_across_batches():
         groups = list(sorted_groups(iter(rows.to_batches(size)), ["k", "j"]))
         assert [g["v"].to_pylist() for g in groups] == [[0, 1], [2], [3, 4], [5], [6, 7]]
     assert list(sorted_groups(iter([]), ["k"])) == []
+
+
+def test_most_frequent_takes_whole_bands_up_to_the_bound(spark):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate([100] * 3 + [50] * 4 + [2] * 5 + [1] * 90)], "word int, n long")
+    for keep, want in ((2, 0), (3, 3), (6, 3), (7, 7), (12, 12), (101, 12), (102, 102), (1000, 102)):
+        assert most_frequent(rows, "n", keep).count() == want
+    assert most_frequent(rows.limit(0), "n", 5).count() == 0
