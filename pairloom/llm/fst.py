@@ -15,9 +15,10 @@ import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm.frames import id_and_text, mapped, tuned
+from pairloom.llm.frames import id_and_text, mapped, most_frequent, tuned
 from pairloom.llm.pretokens import Piece, Slots, character_classes, pieces, tokenizer_at
 from pairloom.llm.words import column_bytes
+from pairloom.session import stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SAMPLE_DOCS = 2_000
@@ -182,14 +183,10 @@ def compiled(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, max_sta
                     counts[p] = counts.get(p, 0) + n
         return {"pretoken": list(counts), "n": list(counts.values())} if counts else None
 
-    rows = (
-        mapped(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(mod)) == 0).select("text"), "pretoken string, n long", seen)
-        .groupBy("pretoken")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "pretoken")
-        .limit(max_states // 4)
-        .collect()
-    )
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(mod)) == 0).select("text")
+    counts = mapped(chosen, "pretoken string, n long", seen).groupBy("pretoken").agg(F.sum("n").alias("n"))
+    rows = most_frequent(stored(counts, "fst-pretokens"), "n", max_states // 4).collect()
+    rows.sort(key=lambda r: (-r.n, r.pretoken))
     return kinds, Transducer([r.pretoken for r in rows], _library_counts(path), max_states)
 
 
