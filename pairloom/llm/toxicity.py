@@ -227,9 +227,13 @@ def fit(
         .where("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_labelled)
     )
+    known = stored(known, "toxicity-labels")
+    total = known.count()
+    if total > max_labelled:
+        # A few per cent below the bound, which the hash then does not exceed; the limit only makes sure.
+        share = int(0.97 * max_labelled / total * (1 << 20))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).limit(max_labelled)
     sample = stored(docs.join(F.broadcast(known), "doc_id").select("text", "toxic"), "toxicity-sample")
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     weights = dict.fromkeys(SEED, SEED_WEIGHT)
