@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.frames import id_and_text, mapped, tuned
+from pairloom.llm.frames import id_and_text, mapped, most_frequent, tuned
 from pairloom.llm.words import batches_of, column_bytes, mix, word_hashes
 from pairloom.session import stored
 
@@ -161,6 +161,7 @@ class Vocabulary:
         words, n = words[order], n[order]
         kind = np.full(len(words), REST, np.int16)
         top = np.arange(min(CLUSTERED, len(words)))
+        top = top[signs[order][top].any(1)]  # only these have been asked for
         if len(top):
             mean = signs[order][top] / n[top, None]
             cluster = _clusters(mean, np.log1p(n[top].astype(float)), CLUSTERS)
@@ -279,14 +280,15 @@ def language_scores(
     learned = docs.where(training())
     counts = stored(_counted(learned), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).select("word", "n").toArrow()
+    top = most_frequent(counts, "n", head).select("word", "n").toArrow()
     names = [f"s{i}" for i in range(SIGNS)]
-    near = counts.orderBy(F.desc("n"), "word").limit(min(head, CLUSTERED)).select("word", *names).toArrow()
+    near = most_frequent(counts, "n", min(head, CLUSTERED)).select("word", *names).toArrow()
     words, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(words)
     signs = np.zeros((len(words), SIGNS))
-    at = order[np.searchsorted(words[order], near["word"].to_numpy().view(np.uint64))] if len(words) else order
-    signs[at] = np.stack([near[c].to_numpy() for c in names], 1) if len(words) else signs
+    if near.num_rows:
+        at = order[np.searchsorted(words[order], near["word"].to_numpy().view(np.uint64))]
+        signs[at] = np.stack([near[c].to_numpy() for c in names], 1)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(words, n, signs, total, distinct))
     table = spark.sparkContext.broadcast(_trained(learned, vocabulary, rounds))
     whole_head = distinct <= head

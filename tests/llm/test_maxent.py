@@ -53,7 +53,7 @@ def test_head_does_not_change_counts_of_classes(spark, documents, corpus):
     """The class of all other words takes what the head leaves."""
     words = np.arange(1, 11, dtype=np.uint64)
     n = np.arange(10, 0, -1)
-    v = maxent.Vocabulary(words[:6], n[:6], np.zeros((6, maxent.SIGNS)), int(n.sum()), 10)
+    v = maxent.Vocabulary(words[:6], n[:6], np.ones((6, maxent.SIGNS)), int(n.sum()), 10)
     assert 10 ** v.log_class[maxent.REST] == pytest.approx(n[6:].sum() + 0.1 * 5)
 
 
