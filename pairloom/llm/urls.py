@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.frames import tuned
+from pairloom.llm.frames import most_frequent, tuned
 from pairloom.session import stored
 
 ALLOW, BLOCK = "allow", "block"
@@ -128,7 +128,7 @@ def word_counts(pages: DataFrame, text_col: str = "html", keep: int = MAX_WORDS)
         yield _counter_rows(counts, ["word", "n"])
 
     rows = pages.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in rows.where("n >= 3").orderBy(F.desc("n"), "word").limit(keep).collect()}
+    return {r.word: r.n for r in most_frequent(stored(rows.where("n >= 3"), "url-words"), "n", keep).collect()}
 
 
 # --- naive Bayes ------------------------------------------------------------
@@ -174,8 +174,9 @@ def fit(parts: DataFrame, segmenter: Segmenter, seeds=SEEDS, keep: int = MAX_FEA
     decided = parts.where("rule_verdict IS NOT NULL").select("host", "path", "rule_verdict")
     count = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0))
     rows = decided.mapInArrow(run, "token string, verdict string, n long").groupBy("token").agg(count(ALLOW).alias("a"), count(BLOCK).alias("b"))
-    tokens = {r.token: (r.a, r.b) for r in rows.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(keep).collect()}
-    documents = tokens.pop("", (0, 0))
+    rows = stored(rows.withColumn("n", F.col("a") + F.col("b")), "url-tokens")
+    tokens = {r.token: (r.a, r.b) for r in most_frequent(rows.where("token != ''"), "n", keep).collect()}
+    documents = next(((r.a, r.b) for r in rows.where("token = ''").collect()), (0, 0))
     for word in seeds:
         a, b = tokens.get(f"h:{word}", (0, 0))
         tokens[f"h:{word}"] = (a, b + SEED_TOKENS)
