@@ -75,6 +75,22 @@ def test_filter_loses_no_window_within_the_budget():
         assert found == want
 
 
+def test_finds_a_copy_of_one_window_at_every_place():
+    """Any 80 compared characters of an item are found, exact or with 6 edits."""
+    passage = prose(77, 90)[:400].strip()
+    index = dec.Windows([(1, prose(78, 60)), (2, passage)], dec.WINDOW, dec.STRIDE, dec.EDIT_RATE)
+    places = range(len(passage) - 80 + 1)
+    texts = [f"{prose(p, 9)} 7{passage[p : p + 80]}7 {prose(p + 1, 9)}".encode() for p in places]
+    texts += [f"{prose(p, 9)} 7{edited(passage[p : p + 80], p, 6)}7 {prose(p + 1, 9)}".encode() for p in places]
+    texts += [prose(9000 + i, 60).encode() for i in range(50)]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    rows = dec.find_windows(index, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert {t for t, *_ in rows} == set(range(2 * len(places)))
+    assert {index.item[w] for _, w, *_ in rows} == {2}
+    exact = {t for t, w, edits, *_ in rows if edits == 0 and index.start[w] == t}
+    assert exact == set(places)
+
+
 def test_odd_rows(spark, documents, odd_rows, items):
     assert dec.benchmark_matches(documents(odd_rows), benchmark(spark, items)).count() == 0
     assert dec.benchmark_matches(documents([]), benchmark(spark, items)).count() == 0
