@@ -1,4 +1,4 @@
-from pairloom.llm import urls
+from pairloom.llm import frames, urls
 
 ROWS = [
     (0, "HTTP://Www.Example.ORG/es/1?x#y", "allow-nothing", "www.example.org", "/es/1", "example.org/es/", "block"),
@@ -67,3 +67,15 @@ def test_bayes_learns_from_rules_and_seeds(spark):
     rows += [(100, "http://x.net/grumwort", ""), (101, "http://x.net/baldo", ""), (102, "http://cheappills.net/", "")]
     got = {r.page_id: r.verdict for r in urls.url_verdicts(pages(spark, rows)).collect()}
     assert got[100] == "block" and got[101] == "allow" and got[102] == "block"
+
+
+def test_the_size_of_the_head_changes_nothing(spark, monkeypatch):
+    """Rare words and tokens count as they would in the head."""
+    rows = [(i, f"http://site{i}.com/{'de' if i % 2 else 'fr'}/{'grumwort' if i % 2 else 'baldo'}", "cheap pills grum wort " * (3 if i < 3 else 1)) for i in range(80)]
+    rows += [(80, "http://a.com/de/zwickel-zwickel", "zwickel zwickel zwickel"), (100, "http://x.net/grumwort", ""), (101, "http://x.net/baldo", "")]
+    rows += [(102, "http://cheappills.net/", ""), (103, "http://zwickelbaldo.net/zwickel", ""), (104, "http://casino.net/wort", ""), (105, None, None)]
+    got = lambda: sorted((r.page_id, r.verdict, round(r.block_probability, 9)) for r in urls.url_verdicts(pages(spark, rows)).collect())
+    whole = got()
+    for most in (0, 2, 5):
+        monkeypatch.setattr(urls, "most_frequent", lambda rows, count_col, keep, most=most: frames.most_frequent(rows, count_col, most))
+        assert got() == whole
