@@ -7,7 +7,9 @@ the cosine of the original vectors, so what is linked is exact; only a pair
 that agrees in no chunk is missed. The length of a chunk grows with the
 logarithm of the largest label, and so many tables are made that a pair at the
 threshold meets with probability ``RECALL`` if its bits differed independently
-(near ones differ less).
+(near ones differ less). The signs are those of centred and projected vectors:
+the angles of pairs at the threshold are measured there, on the sample. Where
+so many tables would cost more than all pairs of a label, all are compared.
 
 Equal vectors are one vector with a multiplicity. A pair counts in the first
 table where it meets. A bucket larger than ``BLOCK`` is cut into blocks, one
@@ -32,6 +34,8 @@ ITQ_ROUNDS = 30
 RECALL = 0.999
 BLOCK = 1024
 MIN_CHUNK, MAX_CHUNK, BUCKET_ROWS = 8, 16, 32
+# A row sent costs about as much as so many comparisons.
+MANY_TABLES, ROW_COST = 64, 1000
 
 
 # --- codes ------------------------------------------------------------------
@@ -65,6 +69,8 @@ class Codes:
         """Centre and projection; a dimension that the sample lacks has random directions."""
         width = self.rotations * BITS
         step = min(BITS, dim)
+        if not self.chunk:
+            return np.zeros(dim), np.zeros((dim, 0))
         if len(x) < 2:
             return np.zeros(dim), np.random.default_rng(dim).normal(size=(dim, width))
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -75,6 +81,8 @@ class Codes:
     def chunks(self, x: np.ndarray) -> np.ndarray:
         """Chunk values (rows, tables) of unit vectors of one dimension."""
         dim = x.shape[1]
+        if not self.chunk:
+            return np.zeros((len(x), 1), np.int32)
         if dim not in self.known:
             self.known[dim] = self._made(np.zeros((0, dim)), dim)
         centre, projection = self.known[dim]
@@ -89,11 +97,53 @@ class Codes:
         return np.stack(tables, 1).astype(np.int32)
 
 
-def plan(largest: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a chunk and number of rotations for a largest label of so many vectors."""
+def threshold_angles(sample: list[np.ndarray], cosine: float = COSINE, most: int = 2000) -> list[np.ndarray]:
+    """Angles, as the signs see them, between sampled vectors and made partners at the cosine.
+
+    One array for each dimension and kind of partner: away in any direction, or
+    only in those that the codes project to.
+    """
+    by_dim: dict[int, list] = {}
+    for v in sample:
+        by_dim.setdefault(len(v), []).append(v)
+    out = []
+    for dim, vectors in by_dim.items():
+        if len(vectors) < 2 or dim < 2:
+            continue
+        x = np.array(vectors)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        centre = x.mean(0)
+        main = learned_rotation(x - centre, min(BITS, dim), rounds=0)
+        rng = np.random.default_rng(dim)
+        x = x[rng.permutation(len(x))[:most]]
+        for away in (rng.normal(size=x.shape), rng.normal(size=(len(x), main.shape[1])) @ main.T):
+            away = away - (away * x).sum(1, keepdims=True) * x
+            away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+            one, other = (x - centre) @ main, (cosine * x + math.sqrt(1 - cosine**2) * away - centre) @ main
+            lengths = np.linalg.norm(one, axis=1) * np.linalg.norm(other, axis=1)
+            out.append(np.arccos(np.clip((one * other).sum(1) / np.maximum(lengths, 1e-300), -1, 1)))
+    return out
+
+
+def _tables_for(agree: np.ndarray, recall: float) -> int:
+    """The fewest tables in which pairs meet that agree in one with these chances."""
+    enough = lambda t: ((1 - agree) ** t).mean() <= 1 - recall
+    high = 1
+    while not enough(high) and high < 1 << 40:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
+def plan(largest: int, cosine: float = COSINE, recall: float = RECALL, angles: list[np.ndarray] = ()) -> tuple[int, int]:
+    """Bits of a chunk and number of rotations for a largest label of so many vectors; no bits if all pairs are to be compared."""
     chunk = min(MAX_CHUNK, max(MIN_CHUNK, math.ceil(math.log2(max(1, largest / BUCKET_ROWS)))))
-    agree = (1 - math.acos(cosine) / math.pi) ** chunk
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    tables = max(_tables_for((1 - a / math.pi) ** chunk, recall) for a in [np.array([math.acos(cosine)]), *angles])
+    if tables > MANY_TABLES and tables * ROW_COST > 2 * largest:
+        return 0, 1
     return chunk, -(-tables // (BITS // chunk))
 
 
@@ -175,11 +225,12 @@ def embedding_duplicates(
     good = rows.where(usable)
     distinct = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "itq-distinct")
     largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    chunk, rotations = plan(largest, cosine, recall)
     total = distinct.count()
     mod = max(1, total // sample)
     chosen = distinct.where(F.pmod(F.xxhash64("vec_id"), F.lit(mod)) == 0).select("embedding").limit(2 * sample).toArrow()
-    codes = spark.sparkContext.broadcast(Codes([np.array(v, float) for v in chosen["embedding"].to_pylist()], rotations, chunk))
+    seen = [np.array(v, float) for v in chosen["embedding"].to_pylist()]
+    chunk, rotations = plan(largest, cosine, recall, threshold_angles(seen, cosine))
+    codes = spark.sparkContext.broadcast(Codes(seen, rotations, chunk))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -90,6 +90,34 @@ def test_recall_at_the_threshold():
         assert (codes.chunks(a) == codes.chunks(b)).any(1).mean() > 0.98
 
 
+def test_recall_with_a_common_mean_and_many_dimensions():
+    """Vectors that share a mean, or have more dimensions than a code has bits, meet as often."""
+    rng = np.random.default_rng(4)
+    for dim, shared in ((64, 0.5), (64, 0.8), (256, 0.0), (256, 0.5)):
+        a = rng.normal(size=(2000, dim))
+        a *= math.sqrt(1 - shared) / np.linalg.norm(a, axis=1, keepdims=True)
+        a[:, 0] += math.sqrt(shared)
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.normal(size=a.shape)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        b = 0.93 * a + math.sqrt(1 - 0.93**2) * b
+        for largest in (1000, 100_000):
+            sample = list(a[:1500])
+            chunk, rotations = itq.plan(largest, angles=itq.threshold_angles(sample))
+            codes = itq.Codes(sample, rotations, chunk)
+            met = (codes.chunks(a[1500:]) == codes.chunks(b[1500:])).any(1).mean()
+            print(dim, shared, largest, chunk, rotations, met)
+            assert met > 0.98
+
+
+def test_all_pairs_where_tables_cost_more(spark):
+    rng = np.random.default_rng(6)
+    common = 4 * rng.normal(size=24)
+    rows = [(i, (common + rng.normal(size=24) * (1 if i % 9 else 6)).astype(np.float32).tolist(), 1, "r", 1, "t") for i in range(120)]
+    assert rows_of(itq.embedding_duplicates(table(spark, rows), block=16)) == brute(rows)
+
+
 def test_rotation_balances_and_loses_less():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 16)) * np.linspace(3, 0.3, 16)
