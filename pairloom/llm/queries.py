@@ -12,8 +12,11 @@ from pairloom.llm import mixing
 from pairloom.llm.maxent import language_scores
 from pairloom.llm.mixing import mixing_probabilities
 from pairloom.llm.planes import binary_output
+from pairloom.llm import ranking
+from pairloom.llm.sentencepieces import digests
 from pairloom.llm.toxicity import toxicity
 from pairloom.llm.urls import url_verdicts
+from pairloom.llm.whitening import whitening
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +78,21 @@ def op3_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = ranking.oracle_sql()
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
