@@ -289,8 +289,13 @@ def encoded(
     path: str = MODEL,
     head_words: int = HEAD_WORDS,
     head_bytes: int = HEAD_BYTES,
+    with_text: bool = False,
 ) -> DataFrame:
-    """(doc_id, ids) of every row: the library's ids of its text, without begin and end."""
+    """(doc_id, ids) of every row: the library's ids of its text, without begin and end.
+
+    ``with_text`` adds the text that the ids decode to, decoded by the same
+    Python worker: one more would hold the library and a batch once more.
+    """
     spark = tuned(docs.sparkSession)
     model_at(path)
     docs = id_and_text(docs, id_col, text_col)
@@ -305,14 +310,18 @@ def encoded(
                 if left:
                     for pairs in batch.column(2).slice(a, b - a).to_pylist():
                         extra.update((p["word"], p["ids"]) for p in pairs or ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _ids_of(words, head.value, extra, path)], ["doc_id", "ids"])
+                ids = _ids_of(words, head.value, extra, path)
+                columns = [batch.column(0).slice(a, b - a), ids]
+                if with_text:
+                    columns.append(_texts_of(ids, path))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     if left:
         keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
         rest = _beyond_head(keyed, table, cut, head).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
         docs = keyed.join(rest, same, "left").select("doc_id", "text", "extra")
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.mapInArrow(run, "doc_id long, ids array<int>" + (", text string" if with_text else ""))
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", path: str = MODEL) -> DataFrame:
@@ -322,19 +331,27 @@ def decoded(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", path:
     return rows.withColumn(text_col, F.when(F.col(ids_col).isNotNull() & usable, _decoder(path)(F.col(ids_col).cast("array<int>"))))
 
 
+def _texts_of(ids: pa.Array, path: str) -> pa.Array:
+    """The library's text of each list; a list that it can not decode is read without the ids it lacks."""
+    model, flat = model_at(path), ids.flatten()
+    whole = not flat.null_count and (not len(flat) or 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < model.get_piece_size())
+    lists = (one.as_py() or [] for one in ids)
+    if not whole:
+        lists = ([i for i in one if i is not None and 0 <= i < model.get_piece_size()] for one in lists)
+    return pa.array([model.decode(one) for one in lists], pa.string())
+
+
 def _decoder(path: str):
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
-        size = model_at(path).get_piece_size()
-        lists = ([i for i in one or () if i is not None and 0 <= i < size] for one in ids.to_pylist())
-        return pa.array([model_at(path).decode(one) for one in lists], pa.string())
+        return _texts_of(ids, path)
 
     return text_of
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, from its ids and the text they decode to."""
-    rows = decoded(encoded(docs, **options))
+    rows = encoded(docs, with_text=True, **options)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return rows.select(
         "doc_id",
