@@ -20,6 +20,7 @@ document ids are kept as they are.
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -40,10 +41,10 @@ MARK = "▁"
 HEAD_WORDS = 4_000_000
 HEAD_BYTES = 96 << 20
 BATCH_BYTES = 2 << 20
+# Bytes of a word that is hashed together with others.
+SHORT = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_IDS = pa.list_(pa.int32())
-
 
 @lru_cache(2)
 def model_at(path: str) -> sentencepiece.SentencePieceProcessor:
@@ -90,10 +91,14 @@ class Words:
         self.hashes = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        """A hash of each word from its bytes, computed for all words of one length at a time in blocks of eight bytes."""
+        """A hash of each word from its bytes: of short ones for all of one length at a time, in blocks of eight bytes."""
         out = np.empty(len(self.begin), np.uint64)
         length = self.end - self.begin
-        order = np.argsort(length, kind="stable")
+        long = np.flatnonzero(length > SHORT)
+        raw = memoryview(self.data)
+        digests = (blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(self.begin[long].tolist(), self.end[long].tolist()))
+        out[long] = np.frombuffer(b"".join(digests), np.uint64)
+        order = np.argsort(length, kind="stable")[: len(length) - len(long)]
         sizes, starts = np.unique(length[order], return_index=True)
         for size, a, b in zip(sizes.tolist(), starts.tolist(), np.append(starts[1:], len(order)).tolist()):
             which = order[a:b]
