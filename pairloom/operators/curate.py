@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.operators.winners import numbered, ordered_like_records, winners, with_record_order
 from pairloom.schemas import INSTRUCTION, UNNAMED_FUNCTION
 
 
@@ -18,17 +19,18 @@ def concatenate(parts: Sequence[DataFrame]) -> DataFrame:
 def keep_first(rows: DataFrame, keys: Sequence[str] = ("function_name",), order: Sequence[str] = ("ord",)) -> DataFrame:
     """The first row of each key, over all inputs and repositories. Null is a key like any other.
 
-    ``min_by`` combines map-side: a name that half of all rows share sends one
-    row per map task. Callers sort at the sink.
+    Rows are stored with numbers; keys and places alone find the first one of
+    each key, so codes and texts of the others are neither sorted nor moved.
+    Callers sort at the sink.
     """
     missing = [c for c in (*keys, *order) if c not in rows.columns]
     if missing:
         raise ValueError(f"columns missing from the rows to merge: {missing}")
-    return (
-        rows.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("first"))
-        .select("first.*")
-    )
+    names = rows.columns
+    rows = numbered(rows, "merged")
+    if ordered_like_records(rows, order):
+        return winners(with_record_order(rows), keys, F.col("_order"), last=False).select(*names)
+    return winners(rows, keys, F.struct(*order), last=False).select(*names)
 
 
 def _member(item: str, key: str) -> Column:

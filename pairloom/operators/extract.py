@@ -12,6 +12,7 @@ from pairloom.functions.names import base_name, is_test
 from pairloom.functions.python_source import functions_of, last_functions_of
 from pairloom.functions.text import utf8_ignoring_errors
 from pairloom.operators.validate import with_content
+from pairloom.operators.winners import file_order, winners
 
 
 def parse_files(files: DataFrame, last_only: bool = False, keep_empty: bool = False) -> DataFrame:
@@ -68,21 +69,11 @@ def parse_report(parsed: DataFrame) -> DataFrame:
 
 def collapse_in_file(functions: DataFrame) -> DataFrame:
     """Last function of each name in a file, from functions already stored as rows."""
-    return (
-        functions.groupBy("repository_full_name", "file_path", "name")
-        .agg(F.max_by(F.struct("fn_pos", "code"), "fn_pos").alias("last"))
-        .select("repository_full_name", "file_path", "name", "last.*")
-    )
+    found = winners(functions, ["repository_full_name", "file_path", "name"], F.col("fn_pos"), label="functions")
+    return found.select("repository_full_name", "file_path", "name", "fn_pos", "code")
 
 
 def collapse_across_files(functions: DataFrame) -> DataFrame:
     """Last function of each name in a repository, in list order then in-file order."""
-    return (
-        functions.groupBy("repository_full_name", "name")
-        .agg(
-            F.max_by(
-                F.struct("file_path", "file_pos", "fn_pos", "code"), F.struct("file_pos", "fn_pos")
-            ).alias("last")
-        )
-        .select("repository_full_name", "name", "last.*")
-    )
+    found = winners(functions, ["repository_full_name", "name"], file_order(), label="functions")
+    return found.select("repository_full_name", "name", "file_path", "file_pos", "fn_pos", "code")

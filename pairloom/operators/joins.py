@@ -2,32 +2,29 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.operators.bloom import Sieve
 from pairloom.session import stored
 
-# Rows of short key columns; far below what a broadcast can take.
+# A broadcast is bounded by rows, for the hash table, and by bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 HEAVY_KEYS = 1_000
 SALTS = 64
 
 
-def _fits(df: DataFrame, rows: int) -> bool:
-    """Counts a table of keys. No column is read, so this costs little next to the join."""
-    return df.count() <= rows
+def fits_broadcast(df: DataFrame, rows: int) -> tuple[bool, int]:
+    """Whether a stored table of keys can be broadcast, and its rows. Reads the table once."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(32)).cast("long")
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= rows and found["bytes"] <= BROADCAST_BYTES, found["rows"]
 
 
-def _by_keys(df: DataFrame, table: DataFrame, keys: list[str], spread: str, how: str, rows: int) -> DataFrame:
-    """Semi or anti join of a wide table with a table of keys.
+def _salted(df: DataFrame, wanted: DataFrame, keys: list[str], spread: str, how: str) -> DataFrame:
+    """The join by a shuffle: keys copied once per salt, rows of one key scattered over the salts by ``spread``.
 
-    The keys are stored first: they are counted and joined, and whatever made
-    them runs once. A key table of bounded size is broadcast, so ``df`` (which
-    carries file contents) is not shuffled. A larger one is copied once per
-    salt, cheap next to the contents, and ``spread`` scatters the rows of one
-    key over the salts. Where ``spread`` is itself a key no key is heavy, and
-    nothing is copied.
+    Where ``spread`` is itself a key no key is heavy, and nothing is copied.
     """
-    wanted = stored(table.select(*keys).distinct(), "known")
-    if _fits(wanted, rows):
-        return df.join(F.broadcast(wanted), keys, how)
     if spread in keys:
         return df.join(wanted, keys, how)
     salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -38,36 +35,62 @@ def _by_keys(df: DataFrame, table: DataFrame, keys: list[str], spread: str, how:
     )
 
 
+def _known(table: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, bool, int]:
+    """The distinct keys of a table, stored: they are counted and joined, and whatever made them runs once."""
+    wanted = stored(table.select(*keys).distinct(), "known")
+    return wanted, *fits_broadcast(wanted, rows)
+
+
 def skip_known(df: DataFrame, ledger: DataFrame, keys: list[str], spread: str = "file_path", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``df`` whose keys are not in ``ledger``."""
-    return _by_keys(df, ledger, keys, spread, "left_anti", rows)
+    """Rows of ``df`` whose keys are not in ``ledger``.
+
+    A ledger beyond a broadcast becomes a Bloom filter first: rows it has
+    certainly not pass without a shuffle, the others are joined. ``df`` is
+    then read twice.
+    """
+    wanted, fits, count = _known(ledger, keys, rows)
+    if fits:
+        return df.join(F.broadcast(wanted), keys, "left_anti").select(*df.columns)
+    sieve = Sieve(wanted, keys, count)
+    doubtful = _salted(sieve.may_match(df), wanted, keys, spread, "left_anti")
+    if not sieve.useful:
+        return doubtful.select(*df.columns)
+    return sieve.surely_not(df).unionByName(doubtful).select(*df.columns)
 
 
 def keep_known(df: DataFrame, table: DataFrame, keys: list[str], spread: str = "file_path", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``df`` whose keys are in ``table``."""
-    return _by_keys(df, table, keys, spread, "left_semi", rows)
+    """Rows of ``df`` whose keys are in ``table``. Beyond a broadcast only rows that pass a Bloom filter are shuffled."""
+    wanted, fits, count = _known(table, keys, rows)
+    if fits:
+        return df.join(F.broadcast(wanted), keys, "left_semi").select(*df.columns)
+    return _salted(Sieve(wanted, keys, count).may_match(df), wanted, keys, spread, "left_semi").select(*df.columns)
 
 
 def narrow_to(df: DataFrame, table: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Drop rows that a later step would drop anyway, where a broadcast of counted size can do it.
+    """Drop rows that a later step would drop anyway, without a shuffle: by a broadcast, or beyond its bound by a Bloom filter.
 
-    With more keys ``df`` comes back as it is: the later step then shuffles
-    all of it, which is no worse than a shuffle for this filter.
+    ``table`` has each key once, and is counted and joined: give a stored one.
     """
     wanted = table.select(*keys)
-    return df.join(F.broadcast(wanted), keys, "left_semi") if _fits(wanted, rows) else df
+    fits, count = fits_broadcast(wanted, rows)
+    if fits:
+        return df.join(F.broadcast(wanted), keys, "left_semi").select(*df.columns)
+    return Sieve(wanted, keys, count).may_match(df)
 
 
 def attach_content(file_list: DataFrame, contents: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The landed content of each listed file; listed files that never arrived drop out.
 
-    ``file_list`` is counted and joined: give a stored one.
-
-    A file is one key, so the shuffled form has no heavy key.
+    ``file_list`` is counted and joined: give a stored one. Of a list beyond a
+    broadcast only contents that pass its Bloom filter are shuffled. A file is
+    one key, so the shuffled form has no heavy key.
     """
     keys = ["repository_full_name", "file_path"]
-    listed = F.broadcast(file_list) if _fits(file_list, rows) else file_list
-    return contents.select(*keys, "content").join(listed, keys)
+    landed = contents.select(*keys, "content")
+    fits, count = fits_broadcast(file_list, rows)
+    if fits:
+        return landed.join(F.broadcast(file_list), keys)
+    return Sieve(file_list, keys, count).may_match(landed).join(file_list, keys)
 
 
 def heavy_keys(df: DataFrame, keys: list[str], most: int = HEAVY_KEYS) -> DataFrame:

@@ -8,70 +8,59 @@ the *first* file, in tree order, that has the name.
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.names import tree_order
-from pairloom.operators.joins import BROADCAST_ROWS, narrow_to, skewed_lookup
+from pairloom.operators.joins import skewed_lookup
+from pairloom.operators.winners import ROW, fetched, file_order, last_row, numbered, winners
+from pairloom.schemas import FUNCTION_PAIRS
 from pairloom.session import stored
 
 KEYS = ["repository_full_name", "base_name"]
 
 
-def _both_sides(functions: DataFrame, *columns: str) -> DataFrame:
-    """Per (repository, base name): the winning test `t` and function `f`, either may be null.
+def _both_sides(functions: DataFrame) -> DataFrame:
+    """Per (repository, base name): the numbers of the last test and the last function, either may be null.
 
     One exchange does the work of two collapses and a join. The key spreads a
     large repository over all reducers, and the partial aggregate leaves one
     row per key and map task however often a name occurs.
     """
-    row = F.struct(*columns)
-    order = F.struct("file_pos", "fn_pos")
-    is_test = F.col("is_test")
-    return functions.groupBy(*KEYS).agg(
-        F.max_by(F.when(is_test, row), F.when(is_test, order)).alias("t"),
-        F.max_by(F.when(~is_test, row), F.when(~is_test, order)).alias("f"),
-    )
+    order, is_test = file_order(), F.col("is_test")
+    return functions.groupBy(*KEYS).agg(last_row(order, is_test).alias("_test"), last_row(order, ~is_test).alias("_function"))
 
 
 def pair_listed(functions: DataFrame) -> DataFrame:
-    """Mode B pairs."""
-    return (
-        _both_sides(functions, "name", "code", "file_path")
-        .where("t is not null and f is not null")
-        .select(
-            F.col("f.name").alias("function_name"),
-            F.col("f.code").alias("function_code"),
-            F.col("f.file_path").alias("function_file"),
-            F.col("t.name").alias("test_function_name"),
-            F.col("t.code").alias("test_function_code"),
-            F.col("t.file_path").alias("test_function_file"),
-            F.col("repository_full_name").alias("repository"),
-        )
-    )
-
+    """Mode B pairs.
 
-def with_partner(functions: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Functions whose base name has both a test and a function in the repository.
-
-    For functions that are stored: a pass over the names alone finds the few
-    keys that pair, and the code of all others is then not shuffled.
+    Functions are stored with numbers; names and places alone give the numbers
+    of each pair. Only code that is in a pair is shuffled, once, to bring its
+    two sides together.
     """
-    keys = (
-        functions.groupBy(*KEYS)
-        .agg(F.bool_or("is_test").alias("tested"), F.bool_and("is_test").alias("only_tests"))
-        .where("tested and not only_tests")
-        .select(*KEYS)
+    functions = numbered(functions, "functions")
+    found = _both_sides(functions).where("_test is not null and _function is not null")
+    pairs = stored(found.select("_test", "_function"), "pairs")
+    f = functions.where("not is_test").select(
+        ROW,
+        F.col("name").alias("function_name"),
+        F.col("code").alias("function_code"),
+        F.col("file_path").alias("function_file"),
+    )
+    t = functions.where("is_test").select(
+        ROW,
+        F.col("name").alias("test_function_name"),
+        F.col("code").alias("test_function_code"),
+        F.col("file_path").alias("test_function_file"),
+        F.col("repository_full_name").alias("repository"),
     )
-    return narrow_to(functions, stored(keys, "keys"), KEYS, rows)
+    return fetched(pairs, "_function", f).join(fetched(pairs.select("_test"), "_test", t), "_test").select(*FUNCTION_PAIRS.fieldNames())
 
 
 def unmatched_listed(functions: DataFrame) -> DataFrame:
-    """Tests of mode B without a function. Same plan, but no code is shuffled."""
-    return (
-        _both_sides(functions, "name", "file_path")
-        .where("t is not null and f is null")
-        .select(
-            F.col("repository_full_name").alias("repository"),
-            F.col("t.name").alias("test_function_name"),
-            F.col("t.file_path").alias("test_function_file"),
-        )
+    """Tests of mode B without a function. No code is stored or shuffled."""
+    functions = numbered(functions.select(*KEYS, "is_test", "file_pos", "fn_pos", "name", "file_path"), "names")
+    alone = stored(_both_sides(functions).where("_test is not null and _function is null").select("_test"), "alone")
+    return fetched(alone, "_test", functions).select(
+        F.col("repository_full_name").alias("repository"),
+        F.col("name").alias("test_function_name"),
+        F.col("file_path").alias("test_function_file"),
     )
 
 
@@ -80,11 +69,9 @@ def first_candidates(functions: DataFrame) -> DataFrame:
 
     Names of candidates are free: one may itself start with ``test_``.
     """
-    return (
-        functions.withColumn("place", F.struct(tree_order("file_path").alias("file"), (-F.col("fn_pos")).alias("back")))
-        .groupBy("repository_full_name", F.col("name").alias("base_name"))
-        .agg(F.min_by(F.struct("code", "file_path"), "place").alias("f"))
-    )
+    rows = numbered(functions.withColumn("base_name", F.col("name")), "candidates")
+    place = F.struct(tree_order("file_path").alias("file"), (-F.col("fn_pos")).alias("back"))
+    return winners(rows, KEYS, place, last=False).select(*KEYS, F.struct("code", "file_path").alias("f"))
 
 
 def pair_by_test_file(tests: DataFrame, functions: DataFrame, hot: DataFrame | None = None) -> DataFrame:

@@ -11,8 +11,9 @@ from pairloom.plans.mine import mine_by_test_file, mine_listed
 from pairloom.schemas import FILE_LEDGER, FUNCTION_PAIRS
 from pairloom.session import scratch_path, spread, stored, tune
 from pairloom.sinks import tables
-from pairloom.sources import files as file_sources, items as item_sources, state
+from pairloom.sources import bucketed, files as file_sources, items as item_sources, json_arrays, state
 from pairloom.streaming import dedup, incremental
+from pairloom.streaming.parse_cache import ParseCache
 
 QUERIES = {}
 ORACLES = {}
@@ -182,6 +183,16 @@ def file_list_jsonl(spark, sf):
     return ranked.join(usable, "line").select("pos", "item_json")
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def array_files_scan(spark, sf):
+    """Whole documents in files that are one JSON array each, read in byte ranges."""
+    path = scratch_path(spark, "arrays")
+    docs = spread(inputs.table(spark, sf, "documents")).select("doc_id", "text", "lang")
+    inputs.json_files(docs.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("item"))).write.text(path)
+    elements = json_arrays.array_elements(spark, path)
+    return elements.select(F.from_json("text", docs.schema).alias("d")).select("d.*")
+
+
 # --- validation -----------------------------------------------------------
 
 
@@ -293,6 +304,28 @@ def extract_udtf(spark, sf):
     )
 
 
+@query(ORACLES["functions_extracted"])
+def functions_by_content(spark, sf):
+    """Two runs over overlapping tables with a cache: each distinct content is parsed once, every file has its functions."""
+    files, cache = code_files(spark, sf), ParseCache(spark, scratch_path(spark, "parse-cache"))
+    cache.add(files.where("file_pos % 3 <> 0"))
+    cache.add(files)
+    return cache.functions(files)
+
+
+@query(
+    f"""WITH cf AS ({CF}), old AS (SELECT DISTINCT content FROM cf WHERE file_pos % 3 <> 0)
+SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS num_contents FROM old
+UNION ALL SELECT 1, count(*) FROM (SELECT content FROM cf EXCEPT SELECT content FROM old)"""
+)
+def contents_parsed(spark, sf):
+    """New contents of each of two runs; a third one over the same files has none and adds no batch."""
+    files, cache = code_files(spark, sf), ParseCache(spark, scratch_path(spark, "parse-cache"))
+    for some in (files.where("file_pos % 3 <> 0"), files, files):
+        cache.add(some)
+    return cache.index().groupBy("batch_id").agg(F.count("*").alias("num_contents"))
+
+
 def _sparse_files(spark: SparkSession, sf: str) -> DataFrame:
     """Some contents empty or null, some with a byte that is not UTF-8, some test files without a test."""
     files = code_files(spark, sf)
@@ -449,11 +482,10 @@ def repo_stats(spark, sf):
 
 @query(STATS)
 def stats_scan(spark, sf):
-    """Statistics written as one JSON object and read back."""
+    """Statistics written as one JSON object for each task, and read back."""
     path = scratch_path(spark, "stats")
-    rows = repo_stats(spark, sf)
-    entries = F.map_from_entries(F.collect_list(F.struct("repository", "num_pairs")))
-    rows.agg(F.to_json(entries)).write.text(path)
+    member = F.substring(F.to_json(F.create_map("repository", "num_pairs")), 2, 2**31 - 1)
+    inputs.json_files(repo_stats(spark, sf).select(F.regexp_replace(member, r"\}$", "")), "{", "}").write.text(path)
     return state.read_stats(spark, path)
 
 
@@ -472,6 +504,25 @@ def mine_listed_files(spark, sf):
     return mine_listed(listed(files), contents(files), quarter_of_repos(files)).pairs
 
 
+@query(f"SELECT repository_full_name, file_path, file_pos, content FROM ({CF}) WHERE file_pos % 3 <> 0")
+def listed_contents_sieved(spark, sf):
+    """The path for a list beyond the broadcast bound: a Bloom filter keeps other contents from the shuffle."""
+    files = code_files(spark, sf)
+    wanted = stored(listed(files).where("file_pos % 3 <> 0"), "listed")
+    return joins.attach_content(wanted, contents(files), rows=0)
+
+
+@query(PAIRS)
+def mine_bucketed_files(spark, sf):
+    """List and contents in the same buckets, joined where they lie, then paired."""
+    files, names = code_files(spark, sf), []
+    for label, rows in (("listed", listed(files)), ("contents", contents(files))):
+        path = scratch_path(spark, label)
+        names.append(f"pairloom_{path.rsplit('-', 1)[-1]}_{label}")
+        bucketed.write_bucketed(rows, names[-1], path, buckets=8)
+    return pairing.pair_listed(extract.extract_functions(bucketed.attach_bucketed_content(spark, *names), last_only=True))
+
+
 @query(f"WITH {BY_FILE_CTES} {BY_FILE} WHERE t.file_pos % 5 <> 0")
 def mine_test_files(spark, sf):
     """The whole mode A job with a ledger; every list entry is given twice."""

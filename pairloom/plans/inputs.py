@@ -1,5 +1,8 @@
 """Code tables derived from the given tables. The same SQL runs on Spark and on the checking engine."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.session import spread
@@ -14,6 +17,21 @@ def derived(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFr
     return spark.sql(text, **{t: spread(table(spark, sf_dir, t)) for t in tables})
 
 
+def json_files(items: DataFrame, opening: str = "[", closing: str = "]") -> DataFrame:
+    """Lines (``value``) of one JSON array for each partition, from a column of elements; of an object, from one of members."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = opening
+        for batch in batches:
+            marks = [mark, *[","] * batch.num_rows][: batch.num_rows]
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(m + t for m, t in zip(marks, batch.column(0).to_pylist()))], ["value"])
+                mark = ","
+        yield pa.RecordBatch.from_arrays([pa.array([closing if mark == "," else opening + closing])], ["value"])
+
+    return items.mapInArrow(lines, "value string")
+
+
 # Small functions: repeated names, `latest` in paths, unparsable files, tests without a function.
 CODE_FILES = """
 SELECT 'org/r' || CAST(p_partkey % 25 AS STRING) AS repository_full_name,

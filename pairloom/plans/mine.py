@@ -9,6 +9,7 @@ from pairloom.operators.joins import attach_content, heavy_keys, keep_known, nar
 from pairloom.operators.pairing import KEYS, pair_by_test_file, pair_listed, unmatched_by_test_file
 from pairloom.operators.stats import repo_stats
 from pairloom.operators.validate import source_files, valid_files
+from pairloom.operators.winners import numbered
 from pairloom.session import stored
 
 REPO = ["repository_full_name"]
@@ -41,7 +42,8 @@ def mine_by_test_file(
     """Mode A: each listed test file against all source files of its repository.
 
     Tests are stored once: they are read for the heavy keys, the pairs, the
-    unmatched tests and the ledger; so are the candidates that a test asks for.
+    unmatched tests and the ledger; so are the candidates that a test asks for,
+    with the numbers by which the code of the winners is found.
     Only source files of repositories with tests are parsed.
     """
     listed = skip_known(valid_files(file_list), ledger, FILE).select(*FILE)
@@ -51,8 +53,8 @@ def mine_by_test_file(
     # In-file winners only: names repeat across files, not within one.
     candidates = extract_functions(sources.select(*FILE, "content"), last_only=True)
     # Only functions that a test asks for need to be shuffled with their code.
-    asked = tests.select("repository_full_name", F.col("base_name").alias("name")).distinct()
-    candidates = stored(narrow_to(candidates, asked, ["repository_full_name", "name"]), "candidates")
+    asked = stored(tests.select("repository_full_name", F.col("base_name").alias("name")).distinct(), "asked")
+    candidates = numbered(narrow_to(candidates, asked, ["repository_full_name", "name"]), "candidates")
     hot = heavy_keys(tests, KEYS)
     return Mined(
         pair_by_test_file(tests, candidates, hot),

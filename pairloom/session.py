@@ -6,13 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Source files are far wider than ordinary rows: the default Arrow batch of
-# 10,000 rows could hold gigabytes of text, and a string column of a batch must
-# stay below two.
-ARROW_ROWS = "64"
-
+# Rows differ from a few bytes to a long file: bytes bound an Arrow batch. The
+# values are those of every operator here, as plans run after they are made.
 RUNTIME_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "100000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",

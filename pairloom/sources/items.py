@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from pairloom.operators.validate import split_valid_items
 from pairloom.schemas import FUNCTION_PAIRS, ORD
+from pairloom.sources.json_arrays import array_elements
 
 
 def _ord(file_ord: int, path: Column, block: Column, pos: Column) -> Column:
@@ -32,13 +33,13 @@ def array_items(texts: DataFrame, value: str = "value") -> DataFrame:
 def read_items(spark: SparkSession, path: str, fmt: str = "jsonl", file_ord: int = 0) -> DataFrame:
     """Raw records (``ord``, ``item`` VARIANT) of one input.
 
-    ``json`` is one array per file and needs one task per file; ``jsonl`` is
-    splittable and the form to use for large inputs.
+    ``json`` is one array per file, ``jsonl`` a record per line. Large files
+    of both are split between tasks; an array is read twice.
     """
     meta = F.col("_metadata")
     if fmt == "json":
-        texts = spark.read.text(path, wholetext=True).select("value", meta["file_path"].alias("part"))
-        return array_items(texts).select(_ord(file_ord, F.col("part"), F.lit(0), F.col("pos")), "item")
+        elements = array_elements(spark, path)
+        return elements.select(_ord(file_ord, F.col("part"), F.lit(0), F.col("pos")), F.parse_json("text").alias("item"))
     if fmt == "jsonl":
         # Rows of a block are read in line order by one task, so a growing id orders them.
         return (

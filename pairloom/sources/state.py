@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pairloom.functions.text import stripped
 from pairloom.schemas import FILE_LEDGER, FUNCTION_PAIRS, REPO_LEDGER, REPO_STATS
+from pairloom.sources.json_arrays import array_elements, object_members
 
 
 def or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
@@ -33,8 +34,8 @@ def read_json_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of repository names."""
 
     def read():
-        texts = spark.read.text(path, wholetext=True)
-        return texts.select(F.explode(F.from_json("value", "array<string>")).alias("repository_full_name"))
+        name = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>")
+        return array_elements(spark, path).select(F.explode(name).alias("repository_full_name"))
 
     return or_empty(spark, read, REPO_LEDGER)
 
@@ -56,12 +57,10 @@ def read_log_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object, repository to number of pairs, as rows."""
+    """JSON objects, one in each file, repository to number of pairs, as rows. A large file is read by many tasks."""
 
     def read():
-        texts = spark.read.text(path, wholetext=True)
-        return texts.select(
-            F.explode(F.from_json("value", "map<string,bigint>")).alias("repository", "num_pairs")
-        )
+        entry = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,bigint>")
+        return object_members(spark, path).select(F.explode(entry).alias("repository", "num_pairs"))
 
     return or_empty(spark, read, REPO_STATS)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.operators.extract import extract_functions, named_functions, parse_files
 from pairloom.operators.joins import attach_content, keep_known, skip_known
-from pairloom.operators.pairing import pair_listed, with_partner
+from pairloom.operators.pairing import pair_listed
 from pairloom.operators.stats import repo_stats
 from pairloom.operators.validate import rejected_files, require_rows, valid_files
 from pairloom.plans.mine import mine_by_test_file
@@ -120,7 +120,7 @@ def pair_new_repositories(spark: SparkSession, out: str, batch: int, expected: D
 
 def _commit(repositories: DataFrame, functions: DataFrame, out: str, batch: int) -> None:
     """Pairs, then statistics from the written pairs, then the ledger."""
-    pairs = _write_batch(pair_listed(with_partner(functions)), out, "pairs", batch)
+    pairs = _write_batch(pair_listed(functions), out, "pairs", batch)
     stats = _write_batch(repo_stats(repositories, pairs), out, "stats", batch)
     _write_batch(stats.select(F.col("repository").alias("repository_full_name")), out, "ledger", batch)
 

@@ -1,11 +1,13 @@
 import random
 
 from pairloom.operators.extract import collapse_across_files, extract_functions, files_with_tests, extract_tests
-from pairloom.operators.joins import attach_content, heavy_keys, keep_known, skip_known
-from pairloom.operators.pairing import KEYS, pair_by_test_file, pair_listed, unmatched_by_test_file, unmatched_listed, with_partner
+from pairloom.operators.joins import attach_content, heavy_keys, keep_known, narrow_to, skip_known
+from pairloom.operators.pairing import KEYS, _both_sides, pair_by_test_file, pair_listed, unmatched_by_test_file, unmatched_listed
 from pairloom.operators.stats import repo_stats, run_totals
 from pairloom.operators.validate import source_files
+from pairloom.operators.winners import file_order, numbered, winners
 from pairloom.plans.mine import mine_by_test_file, mine_listed
+from pairloom.session import stored
 
 SCHEMA = "repository_full_name string, file_path string, file_pos long, content string"
 
@@ -122,13 +124,21 @@ def test_mode_a_against_brute_force_with_and_without_salting(spark):
         assert unmatched + len(want) == tests.count()
 
 
-def test_narrowing_changes_nothing(spark):
-    rows = random_repository(6)
-    functions = extract_functions(make(spark, rows))
-    for bound in (0, 10_000):
-        narrowed = with_partner(functions, bound)
-        assert sorted(tuple(r) for r in pair_listed(narrowed).collect()) == brute_listed(rows)
-        assert (narrowed.count() < functions.count()) == (bound > 0)
+def test_narrowing_keeps_what_pairs(spark):
+    functions = stored(extract_functions(make(spark, random_repository(6))), "functions")
+    asked = stored(functions.where("is_test").select(*KEYS).distinct(), "asked")
+    want = sorted(functions.join(asked, KEYS, "left_semi").select(*functions.columns).collect())
+    assert 0 < len(want) < functions.count()
+    assert sorted(narrow_to(functions, asked, KEYS).collect()) == want
+    sieved = narrow_to(functions, asked, KEYS, rows=0)
+    assert set(sieved.collect()) >= set(want)
+    # A Bloom filter lets few others pass, and needs no exchange of the rows.
+    assert sieved.count() <= len(want) + 5
+    assert "Exchange hashpartitioning" not in plan_of(sieved)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pairs_have_one_row_per_repository_and_name(spark):
@@ -136,10 +146,27 @@ def test_pairs_have_one_row_per_repository_and_name(spark):
     assert pairs.count() == pairs.select("repository", "function_name").distinct().count()
 
 
-def test_one_exchange_with_a_partial_aggregate(spark):
-    plan = pair_listed(extract_functions(make(spark, random_repository(1)).coalesce(1)))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(repository_full_name") == 1
-    assert "partial_max_by" in plan and "Join" not in plan
+def wide(plan):
+    """Operators of a plan that sort, aggregate or shuffle and have code among their columns."""
+    return [line for line in plan.split("\n") if "code#" in line and ("Aggregate" in line or "Exchange" in line)]
+
+
+def test_names_find_the_pairs_by_hash(spark):
+    functions = numbered(extract_functions(make(spark, random_repository(1))))
+    plan = plan_of(_both_sides(functions))
+    assert "SortAggregate" not in plan and "partial_max_by" in plan and not wide(plan)
+    assert "ReadSchema: struct<file_pos:bigint,fn_pos:int,is_test:boolean" in plan.replace("repository_full_name:string,", "") and "code:string" not in plan
+    plan = plan_of(pair_listed(functions))
+    assert "SortAggregate" not in plan
+
+
+def test_beyond_a_broadcast_only_winners_are_shuffled(spark):
+    functions = numbered(extract_functions(make(spark, random_repository(2))))
+    keys = ["repository_full_name", "name"]
+    want = sorted(winners(functions, keys, file_order()).collect())
+    far = winners(functions, keys, file_order(), most=0)
+    assert sorted(far.collect()) == want and "SortAggregate" not in plan_of(far)
+    assert len({(r.repository_full_name, r.name) for r in want}) == len(want)
 
 
 def test_collapse_across_files_takes_the_last(spark):
