@@ -4,10 +4,17 @@ All rolling word k-gram hashes of the documents are joined with the positions
 of the same k-grams in the license templates. A place of a template in a
 document gives votes on one diagonal (document position less template
 position); inserted or missing words move the rest to a neighbouring one. Votes
-are summed by diagonal, neighbouring diagonals are merged, and a merged span is
-kept if it covers enough of its template within a span of about its length.
+are summed by diagonal, neighbouring diagonals are merged, and a merged span of
+about the length of its template is verified: the longest chain of its places
+that goes forward in both texts, an alignment within the merged diagonals, has
+to cover enough of the template.
+
+Documents are told apart by id and text: rows that share an id have their own
+labels.
 """
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -88,7 +95,7 @@ def template_positions(spark: SparkSession, templates, k: int = K) -> DataFrame:
 
 
 def _grams(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, gram, at): every rolling k-gram of every text."""
+    """(doc_id, text_key, gram, at): every rolling k-gram of every text."""
 
     def run(batch: pa.RecordBatch):
         hashes, counts = word_hashes(*column_bytes(batch.column(1)), ALPHANUMERIC)
@@ -100,9 +107,34 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
             whole[at[(at >= 0) & (counts >= back)]] = False
         whole = whole[: len(grams)]
         lists = int_lists(grams[whole].view(np.int64), np.maximum(counts - k + 1, 0))
-        return {"doc_id": batch.column(0), "grams": lists}
+        return {"doc_id": batch.column(0), "text_key": batch.column(2), "grams": lists}
+
+    whole = mapped(docs.select("doc_id", "text", "text_key"), "doc_id long, text_key long, grams array<long>", run)
+    return whole.select("doc_id", "text_key", F.posexplode("grams").alias("at", "gram"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+
 
-    return mapped(docs, "doc_id long, grams array<long>", run).select("doc_id", F.posexplode("grams").alias("at", "gram"))
+def longest_chain(pairs: list[tuple[int, int]]) -> int:
+    """Most of the pairs (at, place) that can be taken with both growing."""
+    ends: list[int] = []
+    for _, place in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        i = bisect_left(ends, place)
+        ends[i : i + 1] = [place]
+    return len(ends)
+
+
+def in_order(diagonals: str) -> F.Column:
+    """The longest chain of each list of (diagonal, places)."""
+
+    @F.arrow_udf("long")
+    def chains(column: pa.Array) -> pa.Array:
+        pairs = ([(d["diagonal"] + place, place) for d in one or () for place in d["places"]] for one in column.to_pylist())
+        return pa.array([longest_chain(p) for p in pairs], pa.int64())
+
+    return chains(F.col(diagonals))
 
 
 def license_spans(
@@ -114,44 +146,42 @@ def license_spans(
     max_shift: int = MAX_SHIFT,
     min_cover: float = MIN_COVER,
 ) -> DataFrame:
-    """(doc_id, template, label, first_word, end_word, cover): verified places of templates, in words from 0.
+    """(doc_id, text_key, template, label, first_word, end_word, cover): verified places of templates, in words from 0.
 
-    Null and empty texts and rows with a null id have none. Documents that
-    share an id are read as one.
+    ``text_key`` is the hash of the text: equal rows of one id have their spans
+    once. Null and empty texts have none; a null id stays null.
     """
     spark = tuned(docs.sparkSession)
-    docs = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = _keyed(docs, id_col, text_col).where("text IS NOT NULL")
     positions = template_positions(spark, templates, k)
     hits = _grams(docs, k).join(F.broadcast(positions), "gram")
-    votes = hits.groupBy("doc_id", "template", "label", "grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"),
+    document = ["doc_id", "text_key"]
+    votes = hits.groupBy(*document, "template", "label", "grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.min("at").alias("first"),
         F.max("at").alias("last"),
         F.collect_set("place").alias("places"),  # at most the grams of the template
     )
-    along = Window.partitionBy("doc_id", "template").orderBy("diagonal", "first")
+    along = Window.partitionBy(*document, "template").orderBy("diagonal", "first")
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > max_shift
     island = F.sum(F.when(apart, 1).otherwise(0)).over(along)
     merged = (
         votes.withColumn("island", island)
-        .groupBy("doc_id", "template", "label", "grams", "island")
+        .groupBy(*document, "template", "label", "grams", "island")
         .agg(
             F.min("first").alias("first_word"),
             (F.max("last") + k).alias("end_word"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
-            F.max("votes").alias("best"),
+            F.collect_list(F.struct("diagonal", "places")).alias("diagonals"),
         )
     )
-    cover = F.col("covered") / F.col("grams")
+    covered = F.size(F.array_distinct(F.flatten(F.col("diagonals.places"))))
     length = F.col("end_word") - F.col("first_word")
-    return (
-        merged.where((cover >= min_cover) & (length <= MAX_STRETCH * (F.col("grams") + k - 1) + max_shift))
-        .select("doc_id", "template", "label", "first_word", "end_word", cover.alias("cover"))
-    )
+    likely = merged.where((covered >= min_cover * F.col("grams")) & (length <= MAX_STRETCH * (F.col("grams") + k - 1) + max_shift))
+    verified = likely.withColumn("cover", in_order("diagonals") / F.col("grams")).where(F.col("cover") >= min_cover)
+    return verified.select(*document, "template", "label", "first_word", "end_word", "cover")
 
 
 def phrase_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels) of every document row."""
+    """(doc_id, text_key, n_words, n_base, first_word, last_word, base_labels) of every document row."""
     tuned(docs.sparkSession)
     wanted = [([hash_of(w) for w in phrase.split()], label) for phrase, label in phrases.items()]
 
@@ -184,6 +214,7 @@ def phrase_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         none = n_base == 0
         return {
             "doc_id": batch.column(0),
+            "text_key": batch.column(2),
             "n_words": pa.array(counts, pa.int64()),
             "n_base": pa.array(n_base, pa.int64()),
             "first_word": pa.array(first, pa.int64(), mask=none),
@@ -191,8 +222,8 @@ def phrase_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "base_labels": pa.array([",".join(sorted(named.get(i, ()))) for i in range(rows)]),
         }
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string"
-    return mapped(id_and_text(docs, id_col, text_col), schema, run)
+    schema = "doc_id long, text_key long, n_words long, n_base long, first_word long, last_word long, base_labels string"
+    return mapped(_keyed(docs, id_col, text_col), schema, run)
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
@@ -200,17 +231,19 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The score is the best cover of a template, raised half way to 1 where a
     phrase names a license, and 0 where nothing is found. Null and empty texts
-    have no words; a null id keeps its row, without templates.
+    have no words. Rows that share an id are labelled by their own texts.
     """
     base = phrase_places(docs, id_col, text_col, phrases)
-    found = license_spans(docs, id_col, text_col, templates).groupBy("doc_id").agg(
+    found = license_spans(docs, id_col, text_col, templates).groupBy("doc_id", "text_key").agg(
         F.collect_set("label").alias("_found"), F.max("cover").alias("_cover")
     )
     named = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
     every = F.array_sort(F.array_union(named, F.coalesce("_found", F.array().cast("array<string>"))))
     missing = 1 - F.least(F.lit(1.0), F.coalesce("_cover", F.lit(0.0)))
-    return base.join(found, "doc_id", "left").select(
-        *base.columns,
+    found = found.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    return base.join(found, same, "left").select(
+        *(c for c in base.columns if c != "text_key"),
         F.array_join(every, ",").alias("labels"),
         (1 - missing * F.when(F.col("n_base") > 0, 0.5).otherwise(1.0)).alias("score"),
     )
