@@ -13,6 +13,7 @@ from pairloom.session import scratch_path, spread, stored, tune
 from pairloom.sinks import tables
 from pairloom.sources import bucketed, files as file_sources, items as item_sources, json_arrays, state
 from pairloom.streaming import dedup, incremental
+from pairloom.streaming.merged import MergedSet
 from pairloom.streaming.parse_cache import ParseCache
 
 QUERIES = {}
@@ -595,6 +596,16 @@ def merge_dedup_first_by_repo(spark, sf):
     return curate.keep_first(_ranked_functions(spark, sf), ["function_name", "repository"], ["file_ord", "pos"])
 
 
+@query(_first("name"))
+def merged_in_any_order(spark, sf):
+    """Inputs that arrive last to first, one of them twice: the order of the records decides, not that of the merges."""
+    rows = stored(_ranked_functions(spark, sf), "ranked")
+    merged = MergedSet(spark, scratch_path(spark, "merged"), rows.schema, order=["file_ord", "pos"], buckets=8)
+    for file_ord in (2, 0, 1, 2):
+        merged.merge(rows.where(F.col("file_ord") == file_ord))
+    return merged.rows()
+
+
 @query(
     f"""
 SELECT function_name, function_code, function_file, test_function_name, test_function_code, test_function_file, repository
