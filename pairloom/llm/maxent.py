@@ -7,9 +7,12 @@ of frequency, and all other words are one class. The class softmax has features
 of the context, hashed into a table: the word before, the two before, and a
 skip feature of the word before the last alone.
 
-Weights are trained by distributed gradient updates: every task takes gradient
-steps over its documents, and the tables of all tasks are averaged. Rounds use
-disjoint parts of the training documents, so together they read each once.
+Weights are trained by distributed gradient updates: documents are dealt to
+groups by a hash, as many as there are tokens for; every group takes gradient
+steps over its documents in order of their ids, and the tables of all groups
+are averaged. So the model depends on the documents alone, not on how the table
+is cut into tasks. Rounds use disjoint parts of the training documents, so
+together they read each once.
 
 Counts of the most frequent words are broadcast, up to a fixed number; counts of
 all other words reach the documents by a join, so scores are exact for any
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.frames import id_and_text, mapped, most_frequent, tuned
@@ -35,6 +39,11 @@ SIGNS = 16
 BUCKETS = 1 << 15
 ROUNDS = 2
 RATE, STEP_TOKENS = 0.5, 4096
+# Training tokens that one group steps through in a round, and bytes of text it takes at once.
+GROUP_TOKENS = 2_000_000
+PORTION = 1 << 19
+# Sums of weights are taken in whole numbers of this part of one.
+FIXED = float(1 << 24)
 SMOOTH = 0.1
 END_HASH = np.uint64(0x5E5E5E5E5E5E5E5E)
 ANY_COUNTS = 1 << 19
@@ -220,48 +229,94 @@ def gradient_steps(table: np.ndarray, seen: np.ndarray, features: np.ndarray, ki
             table[rows] -= RATE * total / np.sqrt(seen[rows] + 1.0)
 
 
-def _trained(docs: DataFrame, vocabulary, rounds: int) -> np.ndarray:
-    """The weight table (buckets, classes). Each round averages, bucket by bucket, what the tasks that met it made of it."""
+def _dealt(docs: DataFrame, groups: int) -> DataFrame:
+    """(group, text): documents in groups by a hash of the document, in order of their ids. The layout of the table has no part in it."""
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")
+    rows = docs.select(group.alias("group"), "doc_id", "text")
+    return rows.repartition(groups, "group").sortWithinPartitions("group", "doc_id", "text").select("group", "text")
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
+    """(group, texts) in order, cut after the document that fills a portion, however the batches are cut."""
+    group, held, size = None, [], 0
+    for batch in batches:
+        groups, texts = batch.column(0).to_numpy(), batch.column(1)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(groups):
+            if held and groups[at] != group:
+                yield group, pa.concat_arrays(held)
+                held, size = [], 0
+            group = int(groups[at])
+            stop = at + int(np.argmax(np.append(groups[at:], group - 1) != group))
+            filled = size + np.cumsum(lengths[at:stop])
+            full = int(np.searchsorted(filled, PORTION))
+            end = min(at + full + 1, stop)
+            held.append(texts.slice(at, end - at))
+            size = int(filled[end - at - 1])
+            if size >= PORTION:
+                yield group, pa.concat_arrays(held)
+                held, size = [], 0
+            at = end
+    if held:
+        yield group, pa.concat_arrays(held)
+
+
+def _trained(docs: DataFrame, vocabulary, rounds: int, tokens: int) -> np.ndarray:
+    """The weight table (buckets, classes). Each round averages, bucket by bucket, what the groups that met it made of it.
+
+    Groups, their number and the order in them follow from the documents; the
+    averages come from sums of whole numbers, which have no order.
+    """
     spark = docs.sparkSession
     table = np.zeros((BUCKETS, CLASSES), np.float32)
+    groups = max(1, -(-tokens // (rounds * GROUP_TOKENS)))
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(table)
         part = docs.where(F.pmod(F.xxhash64(F.lit(number // rounds), "doc_id"), F.lit(rounds)) == number)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = vocabulary.value
-            own = shared.value.copy()
-            seen = np.zeros_like(own)
-            met = np.zeros(BUCKETS, np.int64)
-            for batch in batches:
-                for a, b in batches_of(batch.column(0), 1 << 19):
-                    tokens, counts = tokens_of(batch.column(0).slice(a, b - a))
-                    features = contexts(tokens, counts)
-                    gradient_steps(own, seen, features, words.classes(tokens))
-                    for i in range(features.shape[1]):
-                        met += np.bincount(features[:, i], minlength=BUCKETS)
-            rows = np.flatnonzero(met)
-            # The weighted sum of a task: how often it met the bucket, times the weights.
-            weight = np.sqrt(met[rows]).astype(np.float32)
-            values = own[rows] * weight[:, None]
-            for at in range(0, len(rows), 4096):
-                some = values[at : at + 4096]
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(some.ravel()), CLASSES).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[at : at + 4096], pa.int32()), pa.array(weight[at : at + 4096]), lists], ["bucket", "weight", "value"]
-                )
-
-        moved = part.select("text").mapInArrow(run, "bucket int, weight float, value array<float>")
-        sums = [F.sum(F.col("value")[i]).cast("float").alias(f"v{i}") for i in range(CLASSES)]
-        means = moved.groupBy("bucket").agg(F.sum("weight").cast("float").alias("weight"), *sums).toArrow()
+            words, at_work = vocabulary.value, None
+            own = seen = met = None
+            for group, texts in _portions(batches):
+                if group != at_work:
+                    if at_work is not None:
+                        yield from moved_rows(own, met)
+                    at_work, own, met = group, shared.value.copy(), np.zeros(BUCKETS, np.int64)
+                    seen = np.zeros_like(own)
+                tokens, counts = tokens_of(texts)
+                features = contexts(tokens, counts)
+                gradient_steps(own, seen, features, words.classes(tokens))
+                for i in range(features.shape[1]):
+                    met += np.bincount(features[:, i], minlength=BUCKETS)
+            if at_work is not None:
+                yield from moved_rows(own, met)
+
+        moved = _dealt(part, groups).mapInArrow(run, "bucket int, weight float, value array<float>")
+        whole = lambda c: F.sum(F.rint(c * FIXED).cast("long"))
+        sums = [whole(F.col("value")[i]).alias(f"v{i}") for i in range(CLASSES)]
+        means = moved.groupBy("bucket").agg(whole(F.col("weight")).alias("weight"), *sums).toArrow()
         if means.num_rows:
             rows = means["bucket"].to_numpy()
-            weight = means["weight"].to_numpy()[:, None]
+            weight = means["weight"].to_numpy()[:, None].astype(np.float64)
             table = table.copy()
             table[rows] = np.stack([means[f"v{i}"].to_numpy() for i in range(CLASSES)], 1) / weight
     return table
 
 
+def moved_rows(own: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The weighted sum of a group: how often it met the bucket, times the weights."""
+    rows = np.flatnonzero(met)
+    weight = np.sqrt(met[rows]).astype(np.float32)
+    values = own[rows] * weight[:, None]
+    for at in range(0, len(rows), 4096):
+        some = values[at : at + 4096]
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(some.ravel()), CLASSES).cast(pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[at : at + 4096], pa.int32()), pa.array(weight[at : at + 4096]), lists], ["bucket", "weight", "value"]
+        )
+
+
 # --- the model --------------------------------------------------------------
 
 
@@ -290,7 +345,7 @@ def language_scores(
         at = order[np.searchsorted(words[order], near["word"].to_numpy().view(np.uint64))]
         signs[at] = np.stack([near[c].to_numpy() for c in names], 1)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(words, n, signs, total, distinct))
-    table = spark.sparkContext.broadcast(_trained(learned, vocabulary, rounds))
+    table = spark.sparkContext.broadcast(_trained(learned, vocabulary, rounds, total))
     whole_head = distinct <= head
 
     def run(batch: pa.RecordBatch):

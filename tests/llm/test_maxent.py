@@ -96,3 +96,28 @@ def test_beats_the_base_on_held_out_texts(spark, documents):
 
 def test_empty_table(spark, documents):
     assert maxent.language_scores(documents([])).count() == 0
+
+
+def test_the_layout_of_the_table_changes_no_score(spark, documents, monkeypatch):
+    monkeypatch.setattr(maxent, "GROUP_TOKENS", 3000)
+    monkeypatch.setattr(maxent, "PORTION", 4000)
+    rows = [(i, prose(i % 150, 20 + i % 90)) for i in range(400)]
+    found = []
+    for parts in (1, 2, 7):
+        scored = maxent.language_scores(documents(rows).repartition(parts)).select("doc_id", "score").collect()
+        found.append({r.doc_id: r.score for r in scored})
+    assert len(set(found[0].values())) > 100
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], abs=1e-6)
+
+
+def test_portions_do_not_follow_the_batches(monkeypatch):
+    monkeypatch.setattr(maxent, "PORTION", 25)
+    rows = [(g, "x" * (7 * i % 19) if i % 5 else None) for g in (0, 2, 3) for i in range(20)]
+    want = None
+    for size in (1, 3, 60):
+        batches = [pa.record_batch([pa.array([g for g, _ in rows[i : i + size]], pa.int32()), pa.array([t for _, t in rows[i : i + size]], pa.string())], ["group", "text"]) for i in range(0, 60, size)]
+        got = [(g, t.to_pylist()) for g, t in maxent._portions(iter(batches))]
+        assert [(g, t) for g, texts in got for t in texts] == rows
+        want = want or got
+        assert got == want
