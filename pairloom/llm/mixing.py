@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pairloom.llm.frames import BROADCAST_ROWS, small_or_dealt, tuned
 from pairloom.session import stored
 
-ROUNDS = 16
+ROUNDS = 24
 ROUNDS_AT_ONCE = 8
 # Cells that one task rakes: short rows of some hundred bytes.
 TOGETHER = 100_000
