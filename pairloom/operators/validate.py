@@ -42,13 +42,17 @@ def split_valid_items(items: DataFrame, item: str = "item") -> tuple[DataFrame,
     return good, bad
 
 
+def has_repository() -> Column:
+    return _named("repository_full_name")
+
+
 def valid_files(files: DataFrame) -> DataFrame:
     """Typed form of the same rule."""
-    return files.where(_named("repository_full_name"))
+    return files.where(has_repository())
 
 
 def rejected_files(files: DataFrame) -> DataFrame:
-    return files.where(~_named("repository_full_name"))
+    return files.where(~has_repository())
 
 
 def with_content(files: DataFrame) -> DataFrame:

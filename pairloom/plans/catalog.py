@@ -13,6 +13,7 @@ from pairloom.session import scratch_path, spread, stored, tune
 from pairloom.sinks import tables
 from pairloom.sources import bucketed, files as file_sources, items as item_sources, json_arrays, state
 from pairloom.streaming import dedup, incremental
+from pairloom.streaming.commits import CommittedTable
 from pairloom.streaming.merged import MergedSet
 from pairloom.streaming.parse_cache import ParseCache
 
@@ -454,6 +455,19 @@ def pairs_appended(spark, sf):
     return pairs.unionByName(state.read_pairs_or_empty(spark, path))
 
 
+@query(f"SELECT * FROM ({PAIRS})")
+def pairs_committed(spark, sf):
+    """Pairs in five appends, each made twice under its key; folders are put together on the way."""
+    table = CommittedTable(spark, scratch_path(spark, "committed"), FUNCTION_PAIRS, fan=2)
+    mined = stored(pairs_mode_b(spark, sf), "mined")
+    number = F.substring("repository", 6, 9).cast("int")
+    for i in range(5):
+        part = mined.where(number % 5 == i)
+        table.append(part, f"run {i}")
+        table.append(part, f"run {i}")
+    return table.rows()
+
+
 @query(f"SELECT DISTINCT repository_full_name FROM ({CF})")
 def ledger_appended(spark, sf):
     path = scratch_path(spark, "ledger")

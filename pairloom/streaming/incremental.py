@@ -6,9 +6,12 @@ repository, so it runs as a batch over repositories that are not done. A
 batch overwrites folders named after its number, and the ledger is written
 last: a run that died before that is repeated under the same number.
 
-Parsed rows carry the number of the batch that will pair them, as a
-partition. A batch reads its own partition only, so the work of a run grows
-with what is new and not with what was mined before.
+Parsed rows carry the number of the batch they arrived for, as a partition,
+and are written once. A repository that waits for files is remembered by the
+names of those that came and the batches they came in; when it is complete,
+only those partitions are read. So the work of a run grows with what is new
+and not with what was mined before. The waiting files are a table and not
+keyed stream state, as that would move all code of a repository to one task.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,7 +21,7 @@ from pairloom.operators.extract import extract_functions, named_functions, parse
 from pairloom.operators.joins import attach_content, keep_known, skip_known
 from pairloom.operators.pairing import pair_listed
 from pairloom.operators.stats import repo_stats
-from pairloom.operators.validate import rejected_files, require_rows, valid_files
+from pairloom.operators.validate import has_repository, require_rows, valid_files
 from pairloom.plans.mine import mine_by_test_file
 from pairloom.schemas import CODE_FILES, DATA_PAIRS, FILE_LEDGER, FUNCTION_PAIRS, PARSED, REPO_LEDGER, REPO_STATS
 from pairloom.session import stored
@@ -26,14 +29,21 @@ from pairloom.sources.state import read_table
 
 PARSED_FILES = T.StructType([f for f in CODE_FILES if f.name != "content"] + list(PARSED))
 BATCH = T.StructField("batch_id", T.LongType())
+OPEN = T.StructType([*FILE_LEDGER, T.StructField("arrived", T.LongType())])
+NO_REPOSITORY = "no repository"
 
 
 def start_parsing(spark: SparkSession, landing: str, out: str, batch: int) -> StreamingQuery:
-    """Parse every file that has landed and was not parsed before, for ``batch`` to pair, then stop."""
+    """Parse every file that has landed and was not parsed before, for ``batch`` to pair, then stop.
+
+    A file without a repository is not parsed; it has one row of status ``no repository``.
+    """
     files = spark.readStream.schema(CODE_FILES).parquet(landing)
+    usable = files.withColumn("content", F.when(has_repository(), F.col("content")))
+    status = F.when(has_repository(), F.col("parse_status")).otherwise(NO_REPOSITORY)
     return (
-        parse_files(valid_files(files), keep_empty=True)
-        .withColumn("batch_id", F.lit(batch).cast("long"))
+        parse_files(usable, keep_empty=True)
+        .withColumns({"parse_status": status, "batch_id": F.lit(batch).cast("long")})
         .writeStream.format("parquet")
         .partitionBy("batch_id")
         .option("checkpointLocation", f"{out}/_parsing")
@@ -42,19 +52,6 @@ def start_parsing(spark: SparkSession, landing: str, out: str, batch: int) -> St
     )
 
 
-def start_rejecting(spark: SparkSession, landing: str, out: str) -> StreamingQuery:
-    """Names of the landed files that have no repository; their contents are not read."""
-    files = spark.readStream.schema(CODE_FILES).parquet(landing)
-    return (
-        rejected_files(files)
-        .select("repository_full_name", "file_path", "file_pos")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{out}/_rejecting")
-        .trigger(availableNow=True)
-        .start(f"{out}/rejected")
-    )
-
-
 def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, BATCH])
 
@@ -79,12 +76,22 @@ def _write_batch(rows: DataFrame, out: str, table: str, batch: int) -> DataFrame
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _open_and_new(spark: SparkSession, out: str, batch: int) -> DataFrame:
-    """Parsed rows that arrived for a batch, and those the batch before left open."""
-    schema = _with_batch(PARSED_FILES)
-    new = read_table(spark, f"{out}/parsed", schema).where(F.col("batch_id") == batch)
-    left = read_table(spark, f"{out}/open", schema).where(F.col("batch_id") == batch - 1)
-    return new.unionByName(left).drop("batch_id")
+def _parsed(spark: SparkSession, out: str, batches: list[int]) -> DataFrame:
+    """Parsed rows that arrived for some batches. Only their folders are read."""
+    return read_table(spark, f"{out}/parsed", _with_batch(PARSED_FILES)).where(F.col("batch_id").isin(batches))
+
+
+def _write_rejected(spark: SparkSession, out: str, batch: int) -> None:
+    """Names of the files of a batch that have no repository."""
+    rejected = _parsed(spark, out, [batch]).where(F.col("parse_status") == NO_REPOSITORY)
+    _write_batch(rejected.select("repository_full_name", "file_path", "file_pos"), out, "rejected", batch)
+
+
+def _waiting_files(spark: SparkSession, out: str, batch: int) -> DataFrame:
+    """Files that arrived for a batch, and those the batch before left open: names, and the batch that has their rows."""
+    new = valid_files(_parsed(spark, out, [batch])).select(*FILE_LEDGER.fieldNames(), F.col("batch_id").alias("arrived"))
+    left = read_table(spark, f"{out}/open", _with_batch(OPEN)).where(F.col("batch_id") == batch - 1).drop("batch_id")
+    return new.distinct().unionByName(left)
 
 
 def complete_repositories(parsed: DataFrame, expected: DataFrame) -> DataFrame:
@@ -98,23 +105,27 @@ def pair_new_repositories(spark: SparkSession, out: str, batch: int, expected: D
     """Pair the parsed files of repositories that are not done; returns the batch number, None if there is nothing to pair.
 
     With ``expected``, the number of files of each repository, a repository
-    stays open until all of them have arrived, and its rows join the next
-    batch. Without it what has arrived counts as complete. As a done repository
+    stays open until all of them have arrived, and its files are listed
+    in ``open`` again by each batch, without their code. Without it what has arrived counts as complete. As a done repository
     is skipped for good, files that arrive for it later are parsed and not
     paired.
     """
     ledger = read_committed(spark, out, "ledger", REPO_LEDGER, batch - 1)
-    todo = skip_known(_open_and_new(spark, out, batch), ledger, REPO_LEDGER.fieldNames())
-    left = None
-    if expected is not None:
-        complete = stored(complete_repositories(todo, expected), "complete")
-        left = skip_known(todo, complete, REPO_LEDGER.fieldNames())
-        todo = keep_known(todo, complete, REPO_LEDGER.fieldNames())
-    if todo.isEmpty():
+    repository = REPO_LEDGER.fieldNames()
+    waiting = stored(skip_known(_waiting_files(spark, out, batch), ledger, repository), "waiting")
+    if expected is None:
+        complete = waiting.select(*repository).distinct()
+    else:
+        complete = complete_repositories(waiting, expected)
+    complete = stored(complete, "complete")
+    if complete.isEmpty():
         return None
-    if left is not None:
-        _write_batch(left, out, "open", batch)
-    _commit(todo.select("repository_full_name").distinct(), named_functions(todo), out, batch)
+    # One number for each run that brought files of these repositories.
+    runs = [r["arrived"] for r in keep_known(waiting, complete, repository).select("arrived").distinct().collect()]
+    if expected is not None:
+        _write_batch(skip_known(waiting, complete, repository), out, "open", batch)
+    functions = named_functions(keep_known(_parsed(spark, out, runs).drop("batch_id"), complete, repository))
+    _commit(complete, functions, out, batch)
     return batch
 
 
@@ -128,8 +139,8 @@ def _commit(repositories: DataFrame, functions: DataFrame, out: str, batch: int)
 def mine_available(spark: SparkSession, landing: str, out: str, expected: DataFrame | None = None) -> int | None:
     """One resumable run over whatever has landed; see ``pair_new_repositories`` for ``expected``."""
     batch = last_batch(spark, out) + 1
-    start_rejecting(spark, landing, out).awaitTermination()
     start_parsing(spark, landing, out, batch).awaitTermination()
+    _write_rejected(spark, out, batch)
     return pair_new_repositories(spark, out, batch, expected)
 
 

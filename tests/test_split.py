@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from pairloom.operators.split import assign_split, shard_size, split_sizes, with_position
+from pairloom.operators import split as split_module
+from pairloom.operators.split import assign_split, rank_in, shard_size, split_sizes, with_position
 from pairloom.sinks.tables import write_splits
 
 
@@ -47,6 +49,34 @@ def test_rows_are_not_shuffled_to_place_them(spark, tmp_path):
     assert "Exchange" not in main
 
 
+def test_rank_in_bounds(spark):
+    bounds = [2, 5, 5, 9]
+    df = spark.range(-1, 12).withColumn("b", F.array(*map(F.lit, bounds)))
+    for row in df.select("id", rank_in(F.col("b"), F.col("id"), 4).alias("rank")).collect():
+        assert row.rank == sum(b <= row.id for b in bounds)
+
+
+@pytest.mark.parametrize("sample,n", [(64, 7), (500, 40), (8, 3), (1, 5), (5000, 9), (64, 5000)])
+def test_any_sample_gives_the_same_shards(spark, monkeypatch, sample, n):
+    monkeypatch.setattr(split_module, "SAMPLE", sample)
+    total = 3000
+    values = [(None if v < 5 else "h" if v % 3 else f"k{v % 11}", v) for v in range(total)]
+    random.Random(4).shuffle(values)
+    got = assign_split(spark.createDataFrame(values, "a string, b int").repartition(6), ["a", "b"], n).collect()
+    rows = sorted(((r.a is not None, r.a or "", r.b), r.split) for r in got)
+    assert [s for _, s in rows] == [i // shard_size(total, n) + 1 for i in range(total)]
+
+
+def test_only_keys_near_a_bound_are_sorted(spark, monkeypatch):
+    sorted_rows = []
+    place = split_module.with_position
+    monkeypatch.setattr(split_module, "with_position", lambda df, *a: sorted_rows.append(df.count()) or place(df, *a))
+    monkeypatch.setattr(split_module, "SAMPLE", 10_000)
+    placed = assign_split(spark.range(200_000), ["id"], 5)
+    assert sorted_rows[0] < 4 * 2 * 200_000 * 300 / 10_000
+    assert [r[0] for r in placed.groupBy("split").agg(F.count("*")).select("count(1)").collect()] == [40_000] * 5
+
+
 def test_empty_shards_are_written(spark, tmp_path):
     write_splits(spark.range(11), f"{tmp_path}/s", ["id"], 5)
     assert sorted(p.name for p in (tmp_path / "s").glob("split=*")) == [f"split={i}" for i in range(1, 6)]

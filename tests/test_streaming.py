@@ -127,3 +127,33 @@ def test_committed_file_list(spark, tmp_path):
     assert pairs_of(spark, out) == whole(spark, rows)
     with pytest.raises(ValueError):
         incremental.mine_file_list(spark, listed.limit(0), contents, out)
+
+
+def test_a_repository_over_three_drops_with_a_restart_between(spark, tmp_path, monkeypatch):
+    landing, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    parts = [
+        [("o/slow", "a.py", 0, "def f(): pass"), ("o/now", "b.py", 1, "def g(): pass\ndef test_g(): pass")],
+        [("o/slow", "b.py", 1, "def f(): return 1"), ("o/also", "c.py", 1, "def h(): pass\ndef test_h(): pass")],
+        [("o/slow", "t.py", 2, "def test_f(): pass")],
+    ]
+    sizes = [("o/slow", 3), ("o/now", 1), ("o/also", 1)]
+    expected = spark.createDataFrame(sizes, "repository_full_name string, num_files long")
+    write = incremental._write_batch
+    for batch, part in enumerate(parts):
+        drop(spark, part, landing)
+
+        def dying(rows, out, table, batch):
+            if table == "ledger":
+                raise RuntimeError("killed")
+            return write(rows, out, table, batch)
+
+        monkeypatch.setattr(incremental, "_write_batch", dying)
+        with pytest.raises(RuntimeError):
+            incremental.mine_available(spark, landing, out, expected)
+        monkeypatch.setattr(incremental, "_write_batch", write)
+        assert incremental.mine_available(spark, landing, out, expected) == batch
+        names = {f.name for f in spark.read.parquet(f"{out}/open/batch_id={batch}").schema}
+        assert names == {"repository_full_name", "file_path", "arrived"}
+    assert pairs_of(spark, out) == whole(spark, sum(parts, []))
+    assert spark.read.parquet(f"{out}/open/batch_id=2").isEmpty()
+    assert incremental.mine_available(spark, landing, out, expected) is None
