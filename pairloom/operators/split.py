@@ -8,6 +8,7 @@ from pairloom.session import stored
 
 ROW_BITS = 33  # row number inside a partition, as in monotonically_increasing_id
 SAMPLE = 65_536  # keys of the sample that tells about where shards start
+TREE = 16  # bounds that are compared by compiled conditions
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -54,14 +55,26 @@ def _checked(n: int) -> int:
 
 
 def rank_in(bounds: Column, key: Column, most: int) -> Column:
-    """How many of at most ``most`` ascending bounds are not above the key, by halving steps."""
-    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(most, 1).bit_length()))))
+    """How many of at most ``most`` ascending bounds are not above the key, by binary search.
 
-    def rank(k: Column) -> Column:
+    A few bounds make a tree of conditions, which is compiled; more are
+    searched by halving steps over the array. Past its end ``get`` is null.
+    """
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.get(bounds, F.lit(middle)) <= key, tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    def halving(k: Column) -> Column:
         return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= k, at + step).otherwise(at))
 
+    if most <= TREE:
+        return tree(0, most)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(most.bit_length()))))
     # Over an array of one, so that the key is made once and not at each step.
-    return F.get(F.transform(F.array(key), rank), F.lit(0))
+    return F.get(F.transform(F.array(key), halving), F.lit(0))
 
 
 def _brackets(keys: DataFrame, order: Sequence[str], total: int, size: int) -> DataFrame:

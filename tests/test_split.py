@@ -49,10 +49,12 @@ def test_rows_are_not_shuffled_to_place_them(spark, tmp_path):
     assert "Exchange" not in main
 
 
-def test_rank_in_bounds(spark):
+@pytest.mark.parametrize("tree", [0, 16])
+def test_rank_in_bounds(spark, monkeypatch, tree):
+    monkeypatch.setattr(split_module, "TREE", tree)
     bounds = [2, 5, 5, 9]
     df = spark.range(-1, 12).withColumn("b", F.array(*map(F.lit, bounds)))
-    for row in df.select("id", rank_in(F.col("b"), F.col("id"), 4).alias("rank")).collect():
+    for row in df.select("id", rank_in(F.col("b"), F.col("id"), 6).alias("rank")).collect():
         assert row.rank == sum(b <= row.id for b in bounds)
 
 
