@@ -37,6 +37,7 @@ CLASSES = CLUSTERS * BANDS + 1
 REST = CLASSES - 1
 SIGNS = 16
 BUCKETS = 1 << 15
+LEADING = 20
 ROUNDS = 2
 RATE, STEP_TOKENS = 0.5, 4096
 # Training tokens that one group steps through in a round, and bytes of text it takes at once.
@@ -180,6 +181,8 @@ class Vocabulary:
                 kind[mine] = c * BANDS + np.minimum((share * BANDS - 1e-9).astype(int), BANDS - 1)
         by_word = np.argsort(words)
         self.words, self.n, self.kind = words[by_word], n[by_word], kind[by_word]
+        # Words are hashes, evenly spread: their first bits lead to within a few places of any of them.
+        self.starts = np.searchsorted(self.words, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)).astype(np.int32)
         self.total, self.distinct = total, distinct
         tokens = np.bincount(self.kind, self.n, CLASSES)
         types = np.bincount(self.kind, minlength=CLASSES).astype(float)
@@ -192,41 +195,83 @@ class Vocabulary:
         """Places in the head, and which tokens are in it."""
         if not len(self.words):
             return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return at, self.words[at] == tokens
+        last = len(self.words) - 1
+        at = np.minimum(self.starts.take((tokens >> np.uint64(64 - LEADING)).astype(np.int64)), last)
+        behind = np.flatnonzero((self.words.take(at) < tokens) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            now = at.take(behind)
+            behind = behind[(self.words.take(now) < tokens.take(behind)) & (now < last)]
+        return at, self.words.take(at) == tokens
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
-        at, known = self.place(tokens)
+        return self.classes_at(*self.place(tokens))
+
+    def classes_at(self, at: np.ndarray, known: np.ndarray) -> np.ndarray:
         return np.where(known, self.kind[at] if len(self.kind) else REST, REST)
 
 
 # --- the class softmax ------------------------------------------------------
 
 
+def _sums(table: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each row of features, shifted by its maximum where the exponential could leave the range of a float."""
+    z = table.take(features[:, 0], axis=0)
+    for i in range(1, features.shape[1]):
+        z += table.take(features[:, i], axis=0)
+    if z.size and max(z.max(), -z.min()) > 80:
+        z -= z.max(1, keepdims=True)
+    return z
+
+
 def class_scores(table: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Natural log probabilities of all classes for each row of features."""
-    z = table[features[:, 0]]
-    for i in range(1, features.shape[1]):
-        z += table[features[:, i]]
-    z -= z.max(1, keepdims=True)
+    z = _sums(table, features)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def chosen_scores(table: np.ndarray, features: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Natural log probability of one class for each row of features."""
+    z = _sums(table, features)
+    own = z[np.arange(len(z)), kind]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
+def _by_bucket(bucket: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur, and the sum of the rows of each."""
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")  # numpy sorts 16 bits by radix
+    ordered = bucket.take(order)
+    cuts = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1]
+    sizes = np.diff(np.r_[cuts, len(order)])
+    if len(cuts) == 1:
+        return ordered[:1], g.sum(0, keepdims=True)
+    total = g.take(order.take(cuts), axis=0)
+    many = np.flatnonzero(sizes > 1)
+    if len(many):
+        # Most buckets of a step occur once: only the rows of the others are summed.
+        repeated = g.take(order[np.repeat(sizes > 1, sizes)], axis=0)
+        total[many] = np.add.reduceat(repeated, np.cumsum(sizes[many]) - sizes[many], axis=0)
+    return ordered.take(cuts), total
+
+
 def gradient_steps(table: np.ndarray, seen: np.ndarray, features: np.ndarray, kind: np.ndarray) -> None:
     """Adaptive gradient steps in place, over sparse batches; ``seen`` holds squared gradients."""
     for at in range(0, len(kind), STEP_TOKENS):
         f, k = features[at : at + STEP_TOKENS], kind[at : at + STEP_TOKENS]
-        g = np.exp(class_scores(table, f))
+        g = _sums(table, f)
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True)
         g[np.arange(len(k)), k] -= 1
         for i in range(f.shape[1]):
-            order = np.argsort(f[:, i], kind="stable")
-            bucket = f[order, i]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows = bucket[cuts]
-            total = np.add.reduceat(g[order], cuts, axis=0)
-            seen[rows] += total * total
-            table[rows] -= RATE * total / np.sqrt(seen[rows] + 1.0)
+            rows, total = _by_bucket(f[:, i], g)
+            squared = seen.take(rows, axis=0)
+            squared += total * total
+            seen[rows] = squared
+            squared += 1.0
+            total *= RATE
+            total /= np.sqrt(squared, out=squared)
+            table[rows] = table.take(rows, axis=0) - total
 
 
 def _dealt(docs: DataFrame, groups: int) -> DataFrame:
@@ -355,13 +400,12 @@ def language_scores(
             tokens, counts = tokens_of(batch.column(1).slice(a, b - a))
             at, known = words.place(tokens)
             n = np.where(known, words.n[at] if len(words.n) else 0, 0)
-            kind = words.classes(tokens)
+            kind = words.classes_at(at, known)
             features = contexts(tokens, counts)
             chosen = np.empty(len(tokens))
             for i in range(0, len(tokens), STEP_TOKENS):
                 piece = slice(i, i + STEP_TOKENS)
-                z = class_scores(weights, features[piece])
-                chosen[piece] = z[np.arange(len(z)), kind[piece]]
+                chosen[piece] = chosen_scores(weights, features[piece], kind[piece])
             inside = np.log10(n + SMOOTH)
             base = inside - words.log_all
             full = chosen / np.log(10) + inside - words.log_class[kind]

@@ -68,6 +68,42 @@ def test_probabilities_of_all_words_sum_to_one():
     assert np.bincount(np.r_[v.kind, maxent.REST], inside, maxent.CLASSES)[np.unique(np.r_[v.kind, maxent.REST])] == pytest.approx(1.0)
 
 
+def test_places_equal_a_binary_search():
+    rng = np.random.default_rng(2)
+    words = np.unique(np.r_[rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1)])
+    v = maxent.Vocabulary(words, np.ones(len(words), int), np.zeros((len(words), maxent.SIGNS)), len(words), len(words))
+    for words_in_head in (words, words[:-1], words[100:101]):
+        v = maxent.Vocabulary(words_in_head, np.ones(len(words_in_head), int), np.zeros((len(words_in_head), maxent.SIGNS)), len(words), len(words))
+        asked = np.r_[words, words + np.uint64(1), np.uint64(0), np.uint64(2**64 - 1)]
+        at, known = v.place(asked)
+        assert (known == np.isin(asked, words_in_head)).all()
+        assert (v.words[at[known]] == asked[known]).all()
+
+
+def test_a_step_equals_the_plain_sums():
+    """One step against sums taken row by row, with weights far apart too."""
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 60.0):
+        table = rng.normal(scale=scale, size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
+        features = np.stack([np.zeros(900, int), *(rng.integers(0, top, 900) for top in (9, 700, maxent.BUCKETS))], 1).astype(np.int32)
+        kind = rng.integers(0, maxent.CLASSES, 900)
+        z = sum(table[features[:, i]].astype(float) for i in range(4))
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        chosen = np.log(np.maximum(p[np.arange(900), kind], 1e-300))
+        assert np.allclose(maxent.chosen_scores(table, features, kind), chosen, rtol=1e-4, atol=1e-3)
+        p[np.arange(900), kind] -= 1
+        want, seen = table.astype(float), np.zeros(table.shape)
+        for i in range(4):
+            total = np.zeros(table.shape)
+            np.add.at(total, features[:, i], p)
+            seen += total * total
+            want -= maxent.RATE * total / np.sqrt(seen + 1.0)
+        got = table.copy()
+        maxent.gradient_steps(got, np.zeros_like(got), features, kind)
+        assert np.allclose(got, want, atol=1e-4 * scale)
+
+
 def test_gradient_steps_learn_the_classes():
     rng = np.random.default_rng(1)
     features = rng.integers(0, 50, (20_000, 4)).astype(np.int32)
