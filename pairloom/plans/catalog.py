@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairloom.functions.names import file_key, tree_order
+from pairloom.functions.names import file_key, is_source_file, tree_order
 from pairloom.functions.sql import register
 from pairloom.operators import curate, extract, joins, mutate, pairing, split, stats, validate
 from pairloom.plans import inputs
@@ -11,7 +11,7 @@ from pairloom.plans.mine import mine_by_test_file, mine_listed
 from pairloom.schemas import FILE_LEDGER, FUNCTION_PAIRS
 from pairloom.session import scratch_path, spread, stored, tune
 from pairloom.sinks import tables
-from pairloom.sources import bucketed, files as file_sources, items as item_sources, json_arrays, state
+from pairloom.sources import archives, bucketed, files as file_sources, items as item_sources, json_arrays, state
 from pairloom.streaming import dedup, incremental
 from pairloom.streaming.commits import CommittedTable
 from pairloom.streaming.merged import MergedSet
@@ -134,6 +134,24 @@ def code_files_scan(spark, sf):
     return file_sources.read_code_files(spark, path)
 
 
+@query(
+    f"""SELECT repository_full_name, file_path, content FROM ({CF})
+WHERE file_path LIKE '%.py' AND lower(file_path) NOT LIKE '%test%'"""
+)
+def archive_scan(spark, sf):
+    """Source files of landed archives; other members stay packed."""
+    landed = stored(inputs.archives(code_files(spark, sf)), "archives")
+    return archives.unpack(landed, is_source_file).drop("member_pos")
+
+
+@query(PAIRS)
+def mine_archives(spark, sf):
+    """Pairs of listed files whose contents come from archives."""
+    files = code_files(spark, sf)
+    unpacked = archives.unpack(stored(inputs.archives(files), "archives")).drop("member_pos")
+    return pairing.pair_listed(extract.extract_functions(joins.attach_content(listed(files), unpacked), last_only=True))
+
+
 @query("SELECT doc_id, text AS content FROM documents")
 def decode_base64(spark, sf):
     """Whole texts, with line breaks as a contents API sends them."""

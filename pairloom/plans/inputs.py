@@ -1,9 +1,12 @@
 """Code tables derived from the given tables. The same SQL runs on Spark and on the checking engine."""
 
+import io
+import tarfile
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.session import spread
 
@@ -32,6 +35,27 @@ def json_files(items: DataFrame, opening: str = "[", closing: str = "]") -> Data
     return items.mapInArrow(lines, "value string")
 
 
+def archives(files: DataFrame, positions: int = 512) -> DataFrame:
+    """Archives (``repository_full_name``, ``content``) of the files of a repository, one for each range of positions; zip and tar in turn."""
+
+    def pack(key, group):
+        out, members = io.BytesIO(), [(f"top/{r['file_path']}", r["content"].encode()) for r in group.to_pylist()]
+        if key[1].as_py() % 2:
+            with tarfile.open(fileobj=out, mode="w:gz") as archive:
+                for name, raw in members:
+                    info = tarfile.TarInfo(name)
+                    info.size = len(raw)
+                    archive.addfile(info, io.BytesIO(raw))
+        else:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for name, raw in members:
+                    archive.writestr(name, raw)
+        return pa.table({"repository_full_name": [key[0].as_py()], "content": pa.array([out.getvalue()], pa.binary())})
+
+    part = F.floor(F.col("file_pos") / positions).alias("part")
+    return files.groupBy("repository_full_name", part).applyInArrow(pack, "repository_full_name string, content binary")
+
+
 # Small functions: repeated names, `latest` in paths, unparsable files, tests without a function.
 CODE_FILES = """
 SELECT 'org/r' || CAST(p_partkey % 25 AS STRING) AS repository_full_name,
