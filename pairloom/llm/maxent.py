@@ -278,7 +278,8 @@ def _dealt(docs: DataFrame, groups: int) -> DataFrame:
     """(group, text): documents in groups by a hash of the document, in order of their ids. The layout of the table has no part in it."""
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")
     rows = docs.select(group.alias("group"), "doc_id", "text")
-    return rows.repartition(groups, "group").sortWithinPartitions("group", "doc_id", "text").select("group", "text")
+    # A task for each group: a hash of the group would put several into one task.
+    return rows.repartitionById(groups, "group").sortWithinPartitions("group", "doc_id", "text").select("group", "text")
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
