@@ -12,7 +12,8 @@ groups by a hash, as many as there are tokens for; every group takes gradient
 steps over its documents in order of their ids, and the tables of all groups
 are averaged. So the model depends on the documents alone, not on how the table
 is cut into tasks. Rounds use disjoint parts of the training documents, so
-together they read each once.
+together they read each once. The table grows with the square root of the
+number of training tokens, up to a bound.
 
 Counts of the most frequent words are broadcast, up to a fixed number; counts of
 all other words reach the documents by a join, so scores are exact for any
@@ -36,11 +37,12 @@ CLUSTERS, BANDS = 6, 5
 CLASSES = CLUSTERS * BANDS + 1
 REST = CLASSES - 1
 SIGNS = 16
-BUCKETS = 1 << 15
+# Feature rows up to 2^25 training tokens. They double with each fourfold of the tokens, up to 2^19 rows or 65 MB of weights.
+BUCKETS, BUCKET_TOKENS, DOUBLINGS = 1 << 15, 1 << 25, 4
 LEADING = 20
 ROUNDS = 2
 RATE, STEP_TOKENS = 0.5, 4096
-# Training tokens that one group steps through in a round, and bytes of text it takes at once.
+# Training tokens that one group steps through in a round with the smallest table, and bytes of text it takes at once.
 GROUP_TOKENS = 2_000_000
 PORTION = 1 << 19
 # Sums of weights are taken in whole numbers of this part of one.
@@ -60,7 +62,12 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, ends, END_HASH), counts + 1
 
 
-def contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def doublings(tokens: int) -> int:
+    """How often the table doubles for a number of training tokens."""
+    return int(min(max(round(np.log2(max(tokens, 1) / BUCKET_TOKENS) / 2), 0), DOUBLINGS))
+
+
+def contexts(tokens: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Feature buckets (tokens, 4): bias, word before, two before, the one before the last alone."""
     first = np.cumsum(counts) - counts
     one, two = np.empty_like(tokens), np.empty_like(tokens)
@@ -70,7 +77,7 @@ def contexts(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     two[first] = END_HASH
     second = first[counts > 1] + 1
     two[second] = END_HASH
-    low = np.uint64(BUCKETS - 1)
+    low = np.uint64(buckets - 1)
     return np.stack(
         [
             np.zeros(len(tokens), np.int32),
@@ -238,9 +245,16 @@ def chosen_scores(table: np.ndarray, features: np.ndarray, kind: np.ndarray) ->
     return own - np.log(np.exp(z, out=z).sum(1))
 
 
+def _stable_order(bucket: np.ndarray) -> np.ndarray:
+    """Sorts 16 bits at a time, which numpy does by radix."""
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    high = bucket >> 16
+    return order.take(np.argsort(high.take(order).astype(np.uint16), kind="stable")) if high.any() else order
+
+
 def _by_bucket(bucket: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that occur, and the sum of the rows of each."""
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")  # numpy sorts 16 bits by radix
+    order = _stable_order(bucket)
     ordered = bucket.take(order)
     cuts = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1]
     sizes = np.diff(np.r_[cuts, len(order)])
@@ -315,8 +329,11 @@ def _trained(docs: DataFrame, vocabulary, rounds: int, tokens: int) -> np.ndarra
     averages come from sums of whole numbers, which have no order.
     """
     spark = docs.sparkSession
-    table = np.zeros((BUCKETS, CLASSES), np.float32)
-    groups = max(1, -(-tokens // (rounds * GROUP_TOKENS)))
+    larger = doublings(tokens)
+    buckets = BUCKETS << larger
+    table = np.zeros((buckets, CLASSES), np.float32)
+    # Groups grow with the table, so that what they send stays in proportion to the text.
+    groups = max(1, -(-tokens // (rounds * GROUP_TOKENS << larger)))
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(table)
         part = docs.where(F.pmod(F.xxhash64(F.lit(number // rounds), "doc_id"), F.lit(rounds)) == number)
@@ -328,25 +345,26 @@ def _trained(docs: DataFrame, vocabulary, rounds: int, tokens: int) -> np.ndarra
                 if group != at_work:
                     if at_work is not None:
                         yield from moved_rows(own, met)
-                    at_work, own, met = group, shared.value.copy(), np.zeros(BUCKETS, np.int64)
+                    at_work, own, met = group, shared.value.copy(), np.zeros(buckets, np.int64)
                     seen = np.zeros_like(own)
                 tokens, counts = tokens_of(texts)
-                features = contexts(tokens, counts)
+                features = contexts(tokens, counts, buckets)
                 gradient_steps(own, seen, features, words.classes(tokens))
                 for i in range(features.shape[1]):
-                    met += np.bincount(features[:, i], minlength=BUCKETS)
+                    met += np.bincount(features[:, i], minlength=buckets)
             if at_work is not None:
                 yield from moved_rows(own, met)
 
         moved = _dealt(part, groups).mapInArrow(run, "bucket int, weight float, value array<float>")
         whole = lambda c: F.sum(F.rint(c * FIXED).cast("long"))
         sums = [whole(F.col("value")[i]).alias(f"v{i}") for i in range(CLASSES)]
-        means = moved.groupBy("bucket").agg(whole(F.col("weight")).alias("weight"), *sums).toArrow()
+        totals = moved.groupBy("bucket").agg(whole(F.col("weight")).alias("weight"), *sums)
+        means = totals.select("bucket", *((F.col(f"v{i}") / F.col("weight")).cast("float").alias(f"v{i}") for i in range(CLASSES))).toArrow()
         if means.num_rows:
             rows = means["bucket"].to_numpy()
-            weight = means["weight"].to_numpy()[:, None].astype(np.float64)
             table = table.copy()
-            table[rows] = np.stack([means[f"v{i}"].to_numpy() for i in range(CLASSES)], 1) / weight
+            for i in range(CLASSES):
+                table[rows, i] = means[f"v{i}"].to_numpy()
     return table
 
 
@@ -402,7 +420,7 @@ def language_scores(
             at, known = words.place(tokens)
             n = np.where(known, words.n[at] if len(words.n) else 0, 0)
             kind = words.classes_at(at, known)
-            features = contexts(tokens, counts)
+            features = contexts(tokens, counts, len(weights))
             chosen = np.empty(len(tokens))
             for i in range(0, len(tokens), STEP_TOKENS):
                 piece = slice(i, i + STEP_TOKENS)

@@ -68,6 +68,25 @@ def test_probabilities_of_all_words_sum_to_one():
     assert np.bincount(np.r_[v.kind, maxent.REST], inside, maxent.CLASSES)[np.unique(np.r_[v.kind, maxent.REST])] == pytest.approx(1.0)
 
 
+def test_the_table_grows_with_the_training_tokens():
+    assert [maxent.doublings(n) for n in (0, 1, 1 << 25, 1 << 27, 1 << 29, 1 << 33, 1 << 45)] == [0, 0, 0, 1, 2, 4, 4]
+    tokens = np.random.default_rng(4).integers(0, 1 << 63, 5000).astype(np.uint64)
+    small, large = (maxent.contexts(tokens, np.array([5000]), maxent.BUCKETS << n) for n in (0, 4))
+    assert (large % maxent.BUCKETS == small).all() and large.max() >= maxent.BUCKETS << 3
+    bucket = large[:, 2]
+    assert (maxent._stable_order(bucket) == np.argsort(bucket, kind="stable")).all()
+
+
+def test_larger_tables_learn_and_do_not_follow_the_layout(spark, documents, monkeypatch):
+    monkeypatch.setattr(maxent, "BUCKET_TOKENS", 300)
+    monkeypatch.setattr(maxent, "GROUP_TOKENS", 500)
+    rows = [(i, prose(i, 60) if i % 2 else " ".join(w[::-1] + "x" for w in prose(i, 60).split())) for i in range(500)]
+    assert maxent.doublings(25_000) == 3
+    found = [{r.doc_id: r for r in maxent.language_scores(documents(rows).repartition(n)).collect()} for n in (1, 5)]
+    assert {i: r.score for i, r in found[0].items()} == pytest.approx({i: r.score for i, r in found[1].items()}, abs=1e-6)
+    assert sum(r.score for r in found[0].values()) > sum(r.base_score + 0.1 * r.n_tokens for r in found[0].values())
+
+
 def test_places_equal_a_binary_search():
     rng = np.random.default_rng(2)
     words = np.unique(np.r_[rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1)])
