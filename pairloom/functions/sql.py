@@ -10,10 +10,11 @@ from pyspark.sql import SparkSession
 
 from pairloom.functions.mutants import EDIT, edits_sql, mutation_sites, render_edits
 from pairloom.functions.python_source import functions_of
+from pairloom.operators.mutate import CHUNK, CHUNK_CHARS
 
 
 def register(spark: SparkSession) -> None:
-    """Adds three functions to the session.
+    """Adds five functions to the session.
 
     ``extract_functions(content)``: table of the functions of a file.
     ``mutation_edits(code)``: array of all edits, in mutant order.
@@ -22,6 +23,16 @@ def register(spark: SparkSession) -> None:
         SELECT f.name, m.*
         FROM (SELECT *, mutation_edits(code) AS edits FROM functions) f,
              LATERAL mutate_function(f.code, f.edits) m
+
+    One row of that holds all mutants of a function. For long functions cut the edits first;
+    then a row holds at most ``CHUNK`` mutants or about ``CHUNK_CHARS`` characters of them.
+    ``mutation_chunks(code, edits)``: table of ``start`` and ``part``, consecutive edits.
+    ``mutate_chunk(code, start, part)``: table like that of ``mutate_function``, numbered from ``start``::
+
+        SELECT f.name, m.*
+        FROM (SELECT *, mutation_edits(code) AS edits FROM functions) f,
+             LATERAL mutation_chunks(f.code, f.edits) c,
+             LATERAL mutate_chunk(f.code, c.start, c.part) m
     """
     spark.udf.register("pairloom_functions", functions_of)
     spark.udf.register("pairloom_sites", mutation_sites)
@@ -50,3 +61,21 @@ def register(spark: SparkSession) -> None:
                FROM (SELECT posexplode(pairloom_render(code, edits)) AS (i, m))
         """
     )
+    step = f"cast(greatest(1, least({CHUNK}, {CHUNK_CHARS} / greatest(length(code), 1))) as int)"
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION mutation_chunks(code STRING, edits ARRAY<{edit}>)
+        RETURNS TABLE (start INT, part ARRAY<{edit}>)
+        RETURN SELECT at - 1, slice(edits, at, {step})
+               FROM (SELECT explode(if(size(edits) > 0, sequence(1, size(edits), {step}), array())) AS at)
+        """
+    )
+    spark.sql(
+        f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION mutate_chunk(code STRING, start INT, part ARRAY<{edit}>)
+        RETURNS TABLE (mutant_idx INT, operator STRING, node_type STRING, node_pos INT,
+                       mutant STRING, is_noop BOOLEAN, is_valid BOOLEAN)
+        RETURN SELECT start + i, m.operator, m.node_type, m.node_pos, m.code, m.node_pos = 0, m.is_valid
+               FROM (SELECT posexplode(pairloom_render(code, part)) AS (i, m))
+        """
+    )

@@ -940,6 +940,18 @@ def mutate_udtf(spark, sf):
     )
 
 
+@query(ORACLES["mutate_udtf"])
+def mutate_chunks_udtf(spark, sf):
+    """The same by chunks of edits: no row holds all mutants of a function."""
+    register(spark)
+    _plain_functions(spark, sf).createOrReplaceTempView("pairloom_code")
+    return spark.sql(
+        """SELECT repository_full_name, file_path, name, m.*
+        FROM (SELECT *, mutation_edits(code) AS edits FROM pairloom_code) f,
+             LATERAL mutation_chunks(f.code, f.edits) c, LATERAL mutate_chunk(f.code, c.start, c.part) m"""
+    )
+
+
 @query(
     f"""
 SELECT repo AS repository_full_name, path AS file_path, CAST(fn_pos AS INTEGER) AS fn_pos,
