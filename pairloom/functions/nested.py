@@ -1,4 +1,4 @@
-"""Arrays of structs to and from Arrow, column by column.
+"""Arrays of structs to and from Arrow, column by column, a bounded piece of a batch at a time.
 
 ``pa.array`` on nested dicts takes about as long as rendering a mutant does.
 """
@@ -6,6 +6,32 @@
 from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
+
+# Characters of results that a worker makes before it sends them, and those that an object counts for.
+PIECE = 4 << 20
+OBJECT = 512
+
+
+def text_costs(texts):
+    """Characters each text counts for, as int64."""
+    return pc.add(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), OBJECT)
+
+
+def pieces(costs, limit=PIECE):
+    """(offset, length) of consecutive rows that cost at most ``limit`` together; a row that costs more is alone.
+
+    A batch has thousands of rows and results are many times larger than rows,
+    so a worker that held those of a batch would grow with the batch.
+    """
+    first, total = 0, 0
+    for at, cost in enumerate(costs):
+        if at > first and total + cost > limit:
+            yield first, at - first
+            first, total = at, 0
+        total += cost
+    if first < len(costs):
+        yield first, len(costs) - first
 
 
 def to_arrow(groups, kind):

@@ -3,12 +3,13 @@
 import ast
 import re
 import warnings
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from pairloom.functions.nested import to_arrow
+from pairloom.functions.nested import pieces, text_costs, to_arrow
 from pairloom.schemas import PARSED
 
 LINE_END = re.compile(rb"\r\n|\r|\n")
@@ -63,7 +64,13 @@ def file_functions(source, last_only=False):
     ]
 
 
-def _over_batch(sources, last_only):
+def _over_batches(batches, last_only):
+    for sources in batches:
+        for piece in pieces(text_costs(sources).to_pylist()):
+            yield _over_piece(sources.slice(*piece), last_only)
+
+
+def _over_piece(sources, last_only):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         found = [None if s is None else file_functions(s, last_only) for s in sources.to_pylist()]
@@ -71,10 +78,10 @@ def _over_batch(sources, last_only):
 
 
 @arrow_udf(T.ArrayType(PARSED))
-def functions_of(sources: pa.Array) -> pa.Array:
-    return _over_batch(sources, last_only=False)
+def functions_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _over_batches(batches, last_only=False)
 
 
 @arrow_udf(T.ArrayType(PARSED))
-def last_functions_of(sources: pa.Array) -> pa.Array:
-    return _over_batch(sources, last_only=True)
+def last_functions_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _over_batches(batches, last_only=True)

@@ -1,11 +1,14 @@
 import ast
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.functions import mutants as module
+from pairloom.functions import mutants as module, nested
+from pairloom.functions.python_source import functions_of
 from pairloom.functions.sql import register
+from pairloom.operators.extract import extract_functions
 from pairloom.operators.mutate import mutant_counts, mutant_plan, mutants
 
 GOLDEN = {
@@ -261,3 +264,31 @@ def test_sql_functions(spark):
     names = spark.sql("SELECT f.name FROM golden, LATERAL extract_functions(code) f")
     assert "Join" not in names._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.name for r in names.collect()) == sorted(GOLDEN)
+
+
+def test_a_worker_holds_a_piece_of_a_batch():
+    code = "def f(a):\n" + "    a += 1\n" * 500
+    n, edits = 60, list(some_edits(code))[:64]
+    codes = pa.array([code, None] * n)
+    planned = nested.to_arrow([edits, None] * n, pa.list_(pa.struct([(k, pa.int32() if k == "node_pos" else pa.string()) for k in edits[0]])))
+    sent = list(module.render_edits.func(iter([(codes, planned), (codes, planned)])))
+    assert sum(a.nbytes for a in sent) > 8 * nested.PIECE
+    assert max(a.nbytes for a in sent) <= nested.PIECE
+    want = [{k: v for k, v in m.items() if k != "choice"} for m in module.rendered(code, edits)]
+    assert [row for a in sent for row in a.to_pylist()] == [want, None] * 2 * n
+    for function in (module.mutation_sites, functions_of):
+        texts = pa.array(["def g():\n    # " + "c" * 100_000 + f"\n    return {i}" for i in range(100)])
+        assert [len(a) for a in function.func(iter([texts]))] == [41, 41, 18]
+
+
+def test_pieces_stay_with_their_rows(spark):
+    n, comment = 2500, "c" * 4000
+    text = F.concat(F.lit("def f_"), "id", F.lit(f"(x):\n    # {comment}\n    return x + "), F.col("id") + 10)
+    files = spark.range(0, n, 1, 1).select(
+        F.lit("r").alias("repository_full_name"), F.col("id").cast("string").alias("file_path"), F.col("id").alias("file_pos"), text.alias("content")
+    )
+    found = mutants(extract_functions(files).select("file_path", "name", "code"), tasks=1)
+    own = F.col("name") == F.concat(F.lit("f_"), "file_path")
+    same = own & F.startswith("code", F.concat(F.lit("def "), "name", F.lit("(x):\n")))
+    got = found.groupBy("file_path").agg(F.count("*").alias("n"), F.count_if(same).alias("same"), F.max("mutant_idx").alias("last"))
+    assert got.groupBy("n", "same", "last").count().collect() == [(14, 14, 13, n)]
